@@ -2,14 +2,15 @@ import html as pyhtml
 
 from pyspark.sql import functions as F
 
+from weblens.functions.core import lit
 from weblens.functions import html as H
 
 BASE = "https://example.com/dir/page"
 
 
 def run(spark, text, *exprs):
-    df = spark.createDataFrame([(text,)], "html string").withColumn("c", H.clean(F.col("html")))
-    return df.select(*[e(F.col("html"), F.col("c")).alias(f"c{i}") for i, e in enumerate(exprs)]).first()
+    df = spark.createDataFrame([(text,)], "html string").withColumn("c", F.expr(H.clean("html")))
+    return df.select(*[F.expr(e("html", "c")).alias(f"c{i}") for i, e in enumerate(exprs)]).first()
 
 
 PAGE = """<!DOCTYPE html><HTML><head><title lang=en>A &amp; B &#8364;&#x41;&copy</title><title>second</title>
@@ -26,7 +27,7 @@ PAGE = """<!DOCTYPE html><HTML><head><title lang=en>A &amp; B &#8364;&#x41;&copy
 
 
 def test_everything(spark):
-    b = F.lit(BASE)
+    b = lit(BASE)
     row = run(
         spark,
         PAGE,
@@ -42,10 +43,7 @@ def test_everything(spark):
     )
     assert row.c0 == "A & B €A©"
     anchors = ["https://example.com/dir/one?a=2&b=1", "https://example.com/dir/two"]
-    assert row.c1 == anchors + ["https://example.com/canon", "https://example.com/alt"] or row.c1 == anchors + [
-        "https://example.com/canon",
-        "https://example.com/alt",
-    ]
+    assert row.c1 == anchors + ["https://example.com/canon", "https://example.com/alt"]
     assert row.c2 == anchors
     assert row.c3 == ["https://example.com/i.png"] * 2
     assert row.c4 == ["https://example.com/a.js"]
@@ -60,7 +58,7 @@ def test_everything(spark):
 
 
 def test_empty_page(spark):
-    b = F.lit(BASE)
+    b = lit(BASE)
     row = run(spark, "", lambda h, c: H.title(c), lambda h, c: H.page_links(c, b), lambda h, c: H.meta_map(c))
     assert row.c0 == "" and row.c1 == [] and row.c2 == {}
 
@@ -70,14 +68,14 @@ def test_title_and_links(spark):
         "<html><head><title>Test Page</title></head><body>"
         '<a href="https://example.com/page1">1</a><a href="/page2">2</a><a href="page3">3</a></body></html>'
     )
-    b = F.lit("https://example.com")
+    b = lit("https://example.com")
     row = run(spark, page, lambda h, c: H.title(c), lambda h, c: H.page_links(c, b))
     assert row.c0 == "Test Page"
     assert row.c1 == [f"https://example.com/page{i}" for i in (1, 2, 3)]
 
 
 def test_markup_inside_title_is_text(spark):
-    b = F.lit(BASE)
+    b = lit(BASE)
     row = run(
         spark, '<title><a href="/x">t</a></title><a href="/y">y</a>', lambda h, c: H.title(c), lambda h, c: H.page_links(c, b)
     )
@@ -86,7 +84,7 @@ def test_markup_inside_title_is_text(spark):
 
 
 def test_unterminated_comment_and_script(spark):
-    b = F.lit(BASE)
+    b = lit(BASE)
     row = run(
         spark,
         '<a href="/a">a</a><!-- <a href="/b">b</a>',
@@ -100,7 +98,7 @@ def test_unterminated_comment_and_script(spark):
 def test_unescape_matches_standard_library(spark):
     texts = ["&lt;a&gt;", "a &amp;&amp; b", "&nosuch; &", "&#0;&#xD800;&#x80;&#129;", "&hellip;&nbsp;x", "&&amp;", "&AMP;", "&frac12"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = {r.t: r.u for r in df.select("t", H.unescape(F.col("t")).alias("u")).collect()}
+    got = {r.t: r.u for r in df.select("t", F.expr(H.unescape("t")).alias("u")).collect()}
     assert got == {t: pyhtml.unescape(t) for t in texts}
 
 
@@ -119,4 +117,4 @@ def test_needs_js_render(spark):
         (long_text + '<DIV ID="APP"></DIV>', True),
     ]
     df = spark.createDataFrame([(h,) for h, _ in cases], "h string")
-    assert [r[0] for r in df.select(H.needs_js_render(F.col("h"))).collect()] == [e for _, e in cases]
+    assert [r[0] for r in df.select(F.expr(H.needs_js_render("h"))).collect()] == [e for _, e in cases]

@@ -1,4 +1,4 @@
-"""HTML extraction as Catalyst expressions: no DOM, no Python.
+"""HTML extraction as SQL expressions: no DOM, no Python.
 
 ``clean`` blanks everything a tag search must not look into (comments and the
 bodies of raw-text elements); tags are then found by regular expression and
@@ -8,10 +8,8 @@ read attribute by attribute. Position in the page decides the order of results.
 import json
 from html.entities import html5
 
-from pyspark.sql import Column, functions as F
-
-from weblens.functions.core import let
-from weblens.functions.urls import is_link, normalize_in, normalize_urls, split_url, trim_space
+from weblens.functions.core import Sql, each, each_indexed, keep, let, lit, variable
+from weblens.functions.urls import normalize_in, normalize_urls, split_url, trim_space
 
 # Marks of pages that only fill in under JavaScript.
 JS_SHELL_MARKS = [
@@ -37,14 +35,14 @@ _TITLE = rf"<title(?=[\s/>]){_ATTRS}>(.*?)(?:</title(?=[\s/>])[^>]*>|\z)"
 _SPACE = " \t\r\n\f"
 
 
-def _json_map(table: dict[str, str]) -> Column:
-    """Map literal from one JSON literal; folded to a constant at planning time."""
-    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+def _map_literal(table: dict[str, str]) -> Sql:
+    """Map from one JSON literal; folded to a constant at planning time."""
+    return f"from_json({lit(json.dumps(table))}, 'map<string,string>')"
 
 
 # The standard library's HTML entity table, with and without the closing semicolon.
-_NAMED = {name: text for name, text in html5.items() if name.endswith(";")}
-_NAMED_BARE = {name: text for name, text in html5.items() if not name.endswith(";")}
+_NAMED = _map_literal({name: text for name, text in html5.items() if name.endswith(";")})
+_NAMED_BARE = _map_literal({name: text for name, text in html5.items() if not name.endswith(";")})
 
 
 def _c1_replacements() -> dict[str, str]:
@@ -58,75 +56,65 @@ def _c1_replacements() -> dict[str, str]:
     return table
 
 
-def _code_point(number: Column) -> Column:
-    invalid = (
-        number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
-    )
-    return (
-        F.when(invalid, F.lit("�"))
-        .when(
-            number.between(0x80, 0x9F),
-            F.coalesce(
-                F.element_at(_json_map(_c1_replacements()), number.cast("string")),
-                F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"),
-            ),
-        )
-        .otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-    )
+_C1 = _map_literal(_c1_replacements())
+
 
+def _code_point(n: Sql) -> Sql:
+    character = f"decode(unhex(lpad(hex({n}), 8, '0')), 'UTF-32')"
+    return f"""case
+        when {n} is null or {n} = 0 or {n} > {0x10FFFF} or {n} between {0xD800} and {0xDFFF}
+        then decode(unhex('EFBFBD'), 'UTF-8')
+        when {n} between 128 and 159
+        then coalesce(element_at({_C1}, cast({n} as string)), {character})
+        else {character} end"""
 
-def unescape(text: Column, attribute: bool = False) -> Column:
+
+def unescape(text: Sql, attribute: bool = False) -> Sql:
     """Decode character references. In attributes, a bare name before ``=`` is left alone."""
 
     def decode(piece):
         def by_reference(ref):
-            after = F.substr(piece, F.length(ref) + 1)
-            bare = F.element_at(_json_map(_NAMED_BARE), ref)
+            after = f"substr({piece}, length({ref}) + 1)"
+            bare = f"element_at({_NAMED_BARE}, {ref})"
             if attribute:
-                bare = F.when(~after.startswith("="), bare)
-            decimal = F.regexp_extract(ref, "^#([0-9]+)", 1)
-            hexadecimal = F.regexp_extract(ref, "^#[xX]0*([0-9a-fA-F]{1,8})", 1)
-            text = (
-                F.when(ref == "amp;", F.lit("&"))
-                .when(ref == "", F.lit(None).cast("string"))
-                .when(
-                    F.lower(F.substring(ref, 1, 2)) == "#x",
-                    _code_point(F.conv(hexadecimal, 16, 10).try_cast("bigint")),
-                )
-                .when(ref.startswith("#"), _code_point(decimal.try_cast("bigint")))
-                .when(ref.endswith(";"), F.element_at(_json_map(_NAMED), ref))
-                .otherwise(bare)
+                bare = f"if(startswith({after}, '='), null, {bare})"
+            digits = f"regexp_extract({ref}, '^#[xX]?0*([0-9a-fA-F]{{1,8}})', 1)"
+            number = (
+                f"if({ref} rlike '^#[xX]', try_cast(conv({digits}, 16, 10) as bigint), "
+                f"try_cast({digits} as bigint))"
             )
-            return F.coalesce(F.concat(text, after), F.concat(F.lit("&"), piece))
-
-        reference = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
-        return let(F.regexp_extract(piece, reference, 1), by_reference)
-
-    def join(pieces):
-        return F.array_join(
-            F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(decode(p))), ""
-        )
-
-    return F.when(~F.contains(text, F.lit("&")), text).otherwise(
-        let(F.split(text, "&", -1), join)
+            decoded = f"""case
+                when {ref} = 'amp;' then '&'
+                when {ref} = '' then null
+                when startswith({ref}, '#') then {let(number, _code_point)}
+                when endswith({ref}, ';') then element_at({_NAMED}, {ref})
+                else {bare} end"""
+            return f"coalesce(concat({decoded}, {after}), concat('&', {piece}))"
+
+        reference = lit(r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)")
+        return let(f"regexp_extract({piece}, {reference}, 1)", by_reference)
+
+    pieces = each_indexed(
+        f"split({text}, '&', -1)", lambda p, i: f"if({i} = 0, {p}, {decode(p)})"
     )
+    return f"if(contains({text}, '&'), array_join({pieces}, ''), {text})"
 
 
-def clean(html: Column) -> Column:
+def clean(html: Sql) -> Sql:
     """HTML without comments and without the bodies of raw-text elements; their tags stay."""
-    return F.regexp_replace(html, f"(?is){_RAW_BLOCK}", "$1")
+    return f"regexp_replace({html}, {lit(f'(?is){_RAW_BLOCK}')}, '$1')"
 
 
-def _tags(cleaned: Column, name: str, tail: str = "") -> Column:
+def _tags(cleaned: Sql, name: str, tail: str = "") -> Sql:
     """Start tags called ``name`` in page order; text inside ``<title>`` is no markup."""
     pattern = rf"(?is){_TITLE}|<{name}(?=[\s/>]){_ATTRS}>{tail}"
-    found = F.regexp_extract_all(cleaned, F.lit(pattern), F.lit(0))
-    if name == "title":
-        return found
-    return F.filter(found, lambda t: ~F.lower(F.substring(t, 1, 6)).eqNullSafe("<title"))
+    return keep(
+        f"regexp_extract_all({cleaned}, {lit(pattern)}, 0)",
+        lambda t: f"lower(left({t}, 6)) <> '<title'",
+    )
 
 
-def attribute(tag: Column, name: str) -> Column:
+def attribute(tag: Sql, name: str) -> Sql:
     """Decoded value of the first attribute ``name``; NULL if absent, empty if valueless."""
     other = r"""[\s/]*+[^\s"'>/=][^\s>/=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
     pattern = (
@@ -135,165 +123,142 @@ def attribute(tag: Column, name: str) -> Column:
     )
 
     def value(raw):
-        after_name = F.ltrim(F.substr(raw, F.lit(len(name) + 1)), F.lit(_SPACE))
-        given = F.ltrim(F.substr(after_name, F.lit(2)), F.lit(_SPACE))
-        return F.when(raw != "", let(given, unquote))
+        after_name = f"ltrim({lit(_SPACE)}, substr({raw}, {len(name) + 1}))"
+        given = f"ltrim({lit(_SPACE)}, substr({after_name}, 2))"
+        return f"if({raw} <> '', {let(given, lambda g: let(unquote(g), decode))}, null)"
 
     def unquote(given):
-        quoted = given.startswith('"') | given.startswith("'")
-        return unescape(
-            F.when(quoted, F.substr(given, F.lit(2), F.length(given) - 2)).otherwise(given),
-            attribute=True,
-        )
+        return f"if(left({given}, 1) in ('\"', '\\''), substr({given}, 2, length({given}) - 2), {given})"
+
+    def decode(plain):
+        return unescape(plain, attribute=True)
 
-    return let(F.regexp_extract(tag, pattern, 1), value)
+    return let(f"regexp_extract({tag}, {lit(pattern)}, 1)", value)
 
 
-def _attributes(tags: Column, name: str) -> Column:
-    return F.filter(F.transform(tags, lambda t: attribute(t, name)), lambda v: v.isNotNull())
+def _attributes(tags: Sql, name: str) -> Sql:
+    return keep(each(tags, lambda t: attribute(t, name)), lambda v: f"{v} is not null")
 
 
-def title(cleaned: Column) -> Column:
+def title(cleaned: Sql) -> Sql:
     """Text of the first title element, untrimmed; empty when there is none."""
-    return unescape(F.regexp_extract(cleaned, f"(?is){_TITLE}", 1))
+    return let(f"regexp_extract({cleaned}, {lit(f'(?is){_TITLE}')}, 1)", unescape)
 
 
-def anchor_hrefs(cleaned: Column) -> Column:
+def anchor_hrefs(cleaned: Sql) -> Sql:
     """href values of the anchors, in page order, not resolved."""
     return _attributes(_tags(cleaned, "a"), "href")
 
 
-def _link_hrefs(cleaned: Column, *rels: str) -> Column:
-    matching = F.filter(_tags(cleaned, "link"), lambda t: attribute(t, "rel").isin(list(rels)))
+def _link_hrefs(cleaned: Sql, *rels: str) -> Sql:
+    wanted = ", ".join(lit(r) for r in rels)
+    matching = keep(_tags(cleaned, "link"), lambda t: f"{attribute(t, 'rel')} in ({wanted})")
     return _attributes(matching, "href")
 
 
-def anchors(cleaned: Column, base: Column) -> Column:
+def anchors(cleaned: Sql, base: Sql) -> Sql:
     """Array of (url, anchor_text) for every anchor that resolves, in page order, with repeats."""
-
-    def read(token, split_base):
-        tag = F.regexp_extract(token, rf"(?is)^<a(?=[\s/>]){_ATTRS}>", 0)
-        inner = F.substr(token, F.length(tag) + 1)
-        return F.struct(
-            normalize_in(attribute(tag, "href"), split_base).alias("url"),
-            trim_space(unescape(F.regexp_replace(inner, "<[^>]*>", ""))).alias("anchor_text"),
+    opening = lit(rf"(?is)^<a(?=[\s/>]){_ATTRS}>")
+
+    def read(token, tag, split_base):
+        inner = f"regexp_replace(substr({token}, length({tag}) + 1), '<[^>]*>', '')"
+        text = let(inner, unescape)
+        return (
+            f"named_struct('url', {let(attribute(tag, 'href'), lambda h: normalize_in(h, split_base))}, "
+            f"'anchor_text', {trim_space(text)})"
         )
 
     tokens = _tags(cleaned, "a", tail=r".*?(?=</a[\s>]|<a[\s>]|\z)")
     return let(
         split_url(base),
-        lambda b: F.filter(
-            F.transform(tokens, lambda t: read(t, b)), lambda a: a["url"].isNotNull()
+        lambda b: keep(
+            each(
+                tokens,
+                lambda t: let(f"regexp_extract({t}, {opening}, 0)", lambda tag: read(t, tag, b)),
+            ),
+            lambda a: f"{a}.url is not null",
         ),
     )
 
 
-def page_links(cleaned: Column, base: Column) -> Column:
+def page_links(cleaned: Sql, base: Sql) -> Sql:
     """Distinct normalised links: anchors first, then alternate and canonical link tags."""
-    hrefs = F.concat(anchor_hrefs(cleaned), _link_hrefs(cleaned, "alternate", "canonical"))
-    return F.array_distinct(normalize_urls(hrefs, base))
+    hrefs = f"concat({anchor_hrefs(cleaned)}, {_link_hrefs(cleaned, 'alternate', 'canonical')})"
+    return f"array_distinct({normalize_urls(hrefs, base)})"
 
 
-def anchor_links(cleaned: Column, base: Column) -> Column:
+def anchor_links(cleaned: Sql, base: Sql) -> Sql:
     """Distinct normalised links of the anchors alone."""
-    return F.array_distinct(normalize_urls(anchor_hrefs(cleaned), base))
+    return f"array_distinct({normalize_urls(anchor_hrefs(cleaned), base)})"
 
 
-def images(cleaned: Column, base: Column) -> Column:
+def images(cleaned: Sql, base: Sql) -> Sql:
     return normalize_urls(_attributes(_tags(cleaned, "img"), "src"), base)
 
 
-def scripts(cleaned: Column, base: Column) -> Column:
+def scripts(cleaned: Sql, base: Sql) -> Sql:
     return normalize_urls(_attributes(_tags(cleaned, "script"), "src"), base)
 
 
-def stylesheets(cleaned: Column, base: Column) -> Column:
+def stylesheets(cleaned: Sql, base: Sql) -> Sql:
     return normalize_urls(_link_hrefs(cleaned, "stylesheet"), base)
 
 
-def meta_entries(cleaned: Column) -> Column:
+def meta_entries(cleaned: Sql) -> Sql:
     """Array of (name, content) in writing order: per tag, ``name`` before ``property``."""
 
     def read(tag):
+        keys = f"array({attribute(tag, 'name')}, {attribute(tag, 'property')})"
         return let(
             attribute(tag, "content"),
-            lambda content: F.transform(
-                F.array(attribute(tag, "name"), attribute(tag, "property")),
-                lambda key: F.struct(key.alias("name"), content.alias("content")),
+            lambda content: each(
+                keys, lambda key: f"named_struct('name', {key}, 'content', {content})"
             ),
         )
 
-    entries = F.flatten(F.transform(_tags(cleaned, "meta"), read))
-    return F.filter(entries, lambda e: e["name"].isNotNull() & e["content"].isNotNull())
+    return keep(
+        f"flatten({each(_tags(cleaned, 'meta'), read)})",
+        lambda e: f"{e}.name is not null and {e}.content is not null",
+    )
 
 
-def meta_map(cleaned: Column) -> Column:
+def meta_map(cleaned: Sql) -> Sql:
     """Map from meta name to content; the last writer of a name wins.
 
     Sorting by (name, latest first) keeps the cost at n log n per page and
     does not depend on the session's map-key policy.
     """
-    ordered = F.array_sort(
-        F.transform(
-            meta_entries(cleaned),
-            lambda e, i: F.struct(
-                e["name"].alias("name"), (-i).alias("late"), e["content"].alias("content")
-            ),
-        )
+    ordered = each_indexed(
+        meta_entries(cleaned),
+        lambda e, i: f"named_struct('name', {e}.name, 'late', -{i}, 'content', {e}.content)",
     )
 
     def last_writers(entries):
-        kept = F.filter(
-            entries,
-            lambda e, i: (i == 0)
-            | (e["name"] != F.get(entries, F.greatest(i - 1, F.lit(0)))["name"]),
-        )
-        return F.map_from_entries(
-            F.transform(kept, lambda e: F.struct(e["name"], e["content"]))
+        e, i = variable(), variable()
+        kept = (
+            f"filter({entries}, ({e}, {i}) -> "
+            f"{i} = 0 or {e}.name <> get({entries}, {i} - 1).name)"
         )
+        pairs = each(kept, lambda k: f"named_struct('name', {k}.name, 'content', {k}.content)")
+        return f"map_from_entries({pairs})"
 
-    return let(ordered, last_writers)
+    return let(f"array_sort({ordered})", last_writers)
 
 
-def jsonld(html: Column) -> Column:
+def jsonld(html: Sql) -> Sql:
     """Raw text of every ``application/ld+json`` script, in page order."""
     tag = rf"(?is)^<script(?=[\s/>]){_ATTRS}>"
-    blocks = F.regexp_extract_all(html, F.lit(f"(?is){_RAW_BLOCK}"), F.lit(0))
-    matching = F.filter(
-        blocks,
-        lambda b: b.rlike(r"(?i)^<script[\s/>]")
-        & attribute(F.regexp_extract(b, tag, 0), "type").eqNullSafe("application/ld+json"),
-    )
-    return F.transform(
-        matching,
-        lambda b: F.regexp_extract(b, rf"{tag}(.*?)(?:</script(?=[\s/>])[^>]*>)?\z", 1),
+    whole = lit(rf"{tag}(.*?)(?:</script(?=[\s/>])[^>]*>)?\z")
+    matching = keep(
+        f"regexp_extract_all({html}, {lit(f'(?is){_RAW_BLOCK}')}, 0)",
+        lambda b: f"{b} rlike {lit(r'(?i)^<script[\s/>]')} and coalesce("
+        + attribute(f"regexp_extract({b}, {lit(tag)}, 0)", "type")
+        + " = 'application/ld+json', false)",
     )
+    return each(matching, lambda b: f"regexp_extract({b}, {whole}, 1)")
 
 
-def needs_js_render(html: Column) -> Column:
+def needs_js_render(html: Sql) -> Sql:
     """True for pages under 500 bytes or with a JavaScript-shell mark, whatever its case."""
-    lowered = F.lower(html)
-    found = F.octet_length(html) < JS_SHELL_BYTES
-    for mark in JS_SHELL_MARKS:
-        found = found | F.contains(lowered, F.lit(mark.lower()))
-    return found
-
-
-__all__ = [
-    "anchor_hrefs",
-    "anchor_links",
-    "anchors",
-    "attribute",
-    "clean",
-    "images",
-    "is_link",
-    "jsonld",
-    "meta_entries",
-    "meta_map",
-    "needs_js_render",
-    "page_links",
-    "scripts",
-    "stylesheets",
-    "title",
-    "unescape",
-]
+    marks = " or ".join(f"contains(lower({html}), {lit(m.lower())})" for m in JS_SHELL_MARKS)
+    return f"(octet_length({html}) < {JS_SHELL_BYTES} or {marks})"

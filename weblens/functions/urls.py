@@ -1,4 +1,4 @@
-"""URL functions as Catalyst expressions.
+"""URL functions as SQL expressions.
 
 A URL is split once into a struct, resolved against the split base, and
 written out again, all inside the JVM. Rare work (dot segments, percent
@@ -6,9 +6,7 @@ escaping, query sorting) sits behind a cheap test, so an ordinary link pays
 only for the split.
 """
 
-from pyspark.sql import Column, functions as F
-
-from weblens.functions.core import let
+from weblens.functions.core import Sql, each, each_indexed, keep, let, lit
 
 # Href prefixes that are never links.
 SKIPPED_PREFIXES = ["#", "javascript:", "mailto:", "tel:"]
@@ -34,33 +32,36 @@ _AUTHORITY = (
     r"(?:\[[0-9A-Fa-f:.%]*\]|[^\x00-\x20:@\[\]\\^`{|}#?/%]*)(?::[0-9]*)?$"
 )
 _PLAIN_PATH = r"^[A-Za-z0-9\-_.~!$&'()*+,;=:@\[\]%/]*$"
+_PLAIN_FRAGMENT = r"^[A-Za-z0-9\-_.~!$&'()*+,;=:@\[\]%/?]*$"
 _DOT_SEGMENT = r"(?:^|/)\.\.?(?:/|$)"
-_KEEP_IN_PATH = "~$&+,/:;=@"
-_KEEP_IN_HOST = "~!$&'()*+,;=:[]<>\"@"
-_KEEP_IN_FRAGMENT = "~$&+,/:;=?@!()*"
-
-
-def _percent_encode(text: Column, keep: str) -> Column:
-    """UTF-8 percent encoding; letters, digits, ``-_.`` and ``keep`` stay as they are."""
-    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
-    for char in keep:
-        if char != "*":
-            out = F.replace(out, F.lit(f"%{ord(char):02X}"), F.lit(char))
-    return out if "*" in keep else F.replace(out, F.lit("*"), F.lit("%2A"))
+_KEEP_IN_PATH = r"A-Za-z0-9\-_.~$&+,/:;=@"
+_KEEP_IN_HOST = r"\x00-\x7f"
+_KEEP_IN_FRAGMENT = r"A-Za-z0-9\-_.~$&+,/:;=?@!()*"
+_SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):"
+
+
+def _percent_encode(text: Sql, kept: str) -> Sql:
+    """UTF-8 percent encoding of every run of characters outside the class ``kept``."""
+    runs = f"regexp_extract_all({text}, {lit(f'[{kept}]+|[^{kept}]+')}, 0)"
+    encoded = each(
+        runs,
+        lambda r: f"if({r} rlike {lit(f'^[{kept}]')}, {r}, "
+        f"replace(replace(url_encode({r}), '+', '%20'), '*', '%2A'))",
+    )
+    return f"array_join({encoded}, '')"
 
 
-def _percent_decode(text: Column) -> Column:
-    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+def _percent_decode(text: Sql) -> Sql:
+    return f"try_url_decode(replace({text}, '+', '%2B'))"
 
 
-def _escape_path(path: Column) -> Column:
+def _escape_path(path: Sql) -> Sql:
     """A path that is already valid stays as written; any other is decoded and escaped anew."""
-    return F.when(path.rlike(_PLAIN_PATH), path).otherwise(
-        _percent_encode(_percent_decode(path), _KEEP_IN_PATH)
-    )
+    escaped = _percent_encode(_percent_decode(path), _KEEP_IN_PATH)
+    return f"if({path} rlike {lit(_PLAIN_PATH)}, {path}, {escaped})"
 
 
-def split_url(url: Column) -> Column:
+def split_url(url: Sql) -> Sql:
     """Struct of scheme, authority, path, query, fragment, opaque and valid.
 
     ``authority`` and ``query`` are NULL when absent, so ``a?`` (empty query)
@@ -68,186 +69,141 @@ def split_url(url: Column) -> Column:
     """
 
     def with_scheme(bare, scheme):
-        rest = F.when(scheme != "", F.substr(bare, F.length(scheme) + 2)).otherwise(bare)
-        return let(rest, lambda r: with_rest(bare, scheme, r))
-
-    def with_rest(bare, scheme, rest):
+        rest = f"if({scheme} <> '', substr({bare}, length({scheme}) + 2), {bare})"
         return let(
-            F.substring_index(rest, "?", 1), lambda hier: with_hier(bare, scheme, rest, hier)
+            rest,
+            lambda r: let(
+                f"substring_index({r}, '?', 1)", lambda hier: build(bare, scheme, r, hier)
+            ),
         )
 
-    def with_hier(bare, scheme, rest, hier):
-        slashed = hier.startswith("/")
-        has_authority = hier.startswith("//") & ((scheme != "") | ~hier.startswith("///"))
-        authority = F.when(has_authority, F.regexp_extract(hier, "^//([^/]*)", 1))
-        opaque = (scheme != "") & ~slashed
-        fragment = F.substr(url, F.length(bare) + 2)
-        colon_first = (
-            (scheme == "") & ~slashed & F.contains(F.substring_index(hier, "/", 1), F.lit(":"))
-        )
-        valid = (
-            ~url.rlike(_CONTROL)
-            & ~bare.startswith(":")
-            & ~colon_first
-            & (opaque | ~hier.rlike(_BAD_ESCAPE))
-            & ~fragment.rlike(_BAD_ESCAPE)
-            & F.coalesce(authority.rlike(_AUTHORITY), F.lit(True))
+    def build(bare, scheme, rest, hier):
+        has_authority = (
+            f"startswith({hier}, '//') and ({scheme} <> '' or not startswith({hier}, '///'))"
         )
-        path = F.when(has_authority, F.substr(hier, F.length(authority) + 3)).otherwise(hier)
-        return F.struct(
-            F.lower(scheme).alias("scheme"),
-            authority.alias("authority"),
-            path.alias("path"),
-            F.when(
-                F.contains(rest, F.lit("?")), F.substr(rest, F.length(hier) + 2)
-            ).alias("query"),
-            fragment.alias("fragment"),
-            opaque.alias("opaque"),
-            valid.alias("valid"),
+        authority = f"if({has_authority}, regexp_extract({hier}, '^//([^/]*)', 1), null)"
+        return let(
+            authority,
+            lambda auth: f"""named_struct(
+                'scheme', lower({scheme}),
+                'authority', {auth},
+                'path', if({auth} is null, {hier}, substr({hier}, length({auth}) + 3)),
+                'query', if(contains({rest}, '?'), substr({rest}, length({hier}) + 2), null),
+                'fragment', substr({url}, length({bare}) + 2),
+                'opaque', {scheme} <> '' and not startswith({hier}, '/'),
+                'valid', not {url} rlike {lit(f"{_CONTROL}|#.*{_BAD_ESCAPE}")}
+                    and not ({scheme} = '' and {hier} rlike '^[^/]*:')
+                    and (({scheme} <> '' and not startswith({hier}, '/'))
+                         or not {hier} rlike {lit(_BAD_ESCAPE)})
+                    and coalesce({auth} rlike {lit(_AUTHORITY)}, true))""",
         )
 
     return let(
-        F.substring_index(url, "#", 1),
+        f"substring_index({url}, '#', 1)",
         lambda bare: let(
-            F.regexp_extract(bare, "^([A-Za-z][A-Za-z0-9+.-]*):", 1),
+            f"regexp_extract({bare}, {lit(_SCHEME)}, 1)",
             lambda scheme: with_scheme(bare, scheme),
         ),
     )
 
 
-def _remove_dot_segments(path: Column) -> Column:
+def _remove_dot_segments(path: Sql) -> Sql:
     def walk(segments):
-        last = F.element_at(segments, -1)
-        kept = F.aggregate(
-            segments,
-            F.array().cast("array<string>"),
-            lambda done, seg: F.when(seg == ".", done)
-            .when(seg == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
-            .otherwise(F.array_append(done, seg)),
-        )
-        joined = F.concat(
-            F.lit("/"),
-            F.array_join(kept, "/"),
-            F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")),
-        )
-        return let(
-            joined, lambda j: F.when(j.startswith("//"), F.substr(j, F.lit(2))).otherwise(j)
-        )
+        kept = f"""aggregate({segments}, cast(array() as array<string>), (done, seg) -> case
+            when seg = '.' then done
+            when seg = '..' then slice(done, 1, greatest(size(done) - 1, 0))
+            else array_append(done, seg) end)"""
+        ending = f"if(element_at({segments}, -1) in ('.', '..'), '/', '')"
+        joined = f"concat('/', array_join({kept}, '/'), {ending})"
+        return let(joined, lambda j: f"if(startswith({j}, '//'), substr({j}, 2), {j})")
 
-    return (
-        F.when(path.rlike(_DOT_SEGMENT), walk(F.split(path, "/")))
-        .when((path == "") | path.startswith("/"), path)
-        .otherwise(F.concat(F.lit("/"), path))
-    )
+    return f"""case
+        when {path} rlike {lit(_DOT_SEGMENT)} then {let(f"split({path}, '/')", walk)}
+        when {path} = '' or startswith({path}, '/') then {path}
+        else concat('/', {path}) end"""
 
 
-def _resolve(ref: Column, base: Column) -> Column:
+def _resolve(ref: Sql, base: Sql) -> Sql:
     """Struct of head (everything before the query), query and fragment; NULL if unparseable."""
-    absolute = (ref.scheme != "") | (F.coalesce(ref.authority, F.lit("")) != "")
-    scheme = F.when(ref.scheme != "", ref.scheme).otherwise(base.scheme)
-    authority = F.when(absolute, ref.authority).otherwise(base.authority)
-    merged = (
-        F.when(ref.path == "", base.path)
-        .when(ref.path.startswith("/"), ref.path)
-        .otherwise(F.concat(F.regexp_extract(base.path, "^(.*/)", 1), ref.path))
-    )
-    # Each side is escaped before merging, so dot segments are found in escaped text.
-    path = let(
-        F.when(absolute, ref.path).otherwise(merged),
-        lambda p: let(_escape_path(p), _remove_dot_segments),
-    )
-    written_authority = F.when(
-        authority.rlike(r"[^\x00-\x7F]"), _percent_encode(authority, _KEEP_IN_HOST)
-    ).otherwise(authority)
-    head = F.when(
-        ref.opaque, F.concat(ref.scheme, F.lit(":"), ref.path)
-    ).otherwise(
-        F.concat(
-            F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
-            F.coalesce(F.concat(F.lit("//"), written_authority), F.lit("")),
-            path,
-        )
-    )
-    same_document = ~absolute & (ref.path == "") & ref.query.isNull()
-    return F.when(
-        ref.valid & base.valid,
-        F.struct(
-            head.alias("head"),
-            F.when(same_document, base.query).otherwise(ref.query).alias("query"),
-            F.when(same_document & (ref.fragment == ""), base.fragment)
-            .otherwise(ref.fragment)
-            .alias("fragment"),
-        ),
-    )
-
-
-def _query_escape(text: Column) -> Column:
-    return F.replace(
-        F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~")
-    )
 
-
-def clean_query(query: Column) -> Column:
+    def build(absolute):
+        # Sides are escaped before dot segments are removed, as these live in escaped text.
+        merged = f"""case
+            when {absolute} or startswith({ref}.path, '/') then {ref}.path
+            when {ref}.path = '' then {base}.path
+            else concat(regexp_extract({base}.path, '^(.*/)', 1), {ref}.path) end"""
+        path = let(merged, lambda p: let(_escape_path(p), _remove_dot_segments))
+        authority = f"if({absolute}, {ref}.authority, {base}.authority)"
+        same = f"(not {absolute} and {ref}.path = '' and {ref}.query is null)"
+        return f"""named_struct(
+            'head', if({ref}.opaque,
+                concat({ref}.scheme, ':', {ref}.path),
+                concat(
+                    {let(
+                        f"if({ref}.scheme <> '', {ref}.scheme, {base}.scheme)",
+                        lambda s: f"if({s} <> '', concat({s}, ':'), '')",
+                    )},
+                    coalesce(concat('//', {let(
+                        authority, lambda a: _percent_encode(a, _KEEP_IN_HOST)
+                    )}), ''),
+                    {path})),
+            'query', if({same}, {base}.query, {ref}.query),
+            'fragment', if({same} and {ref}.fragment = '', {base}.fragment, {ref}.fragment))"""
+
+    absolute = f"{ref}.scheme <> '' or coalesce({ref}.authority, '') <> ''"
+    return f"if({ref}.valid and {base}.valid, {let(absolute, build)}, null)"
+
+
+def _query_escape(text: Sql) -> Sql:
+    return f"replace(replace(url_encode({text}), '*', '%2A'), '%7E', '~')"
+
+
+def clean_query(query: Sql) -> Sql:
     """Query string without tracking parameters, sorted by key and re-encoded."""
-    pairs = F.filter(
-        F.split(query, "&"),
-        lambda p: (p != "") & ~F.contains(p, F.lit(";")) & ~p.rlike(_BAD_ESCAPE),
-    )
-    decoded = F.transform(
+    pairs = keep(f"split({query}, '&')", lambda p: f"not {p} rlike {lit('^$|;|' + _BAD_ESCAPE)}")
+    decoded = each_indexed(
         pairs,
         lambda p, i: let(
-            F.substring_index(p, "=", 1),
-            lambda k: F.struct(
-                F.try_url_decode(k).alias("key"),
-                i.alias("idx"),
-                F.try_url_decode(F.substr(p, F.length(k) + 2)).alias("value"),
-            ),
+            f"substring_index({p}, '=', 1)",
+            lambda k: f"named_struct('key', try_url_decode({k}), 'idx', {i}, "
+            f"'value', try_url_decode(substr({p}, length({k}) + 2)))",
         ),
     )
-    kept = F.array_sort(
-        F.filter(decoded, lambda e: e.key.isNotNull() & ~e.key.isin(TRACKING_PARAMS))
-    )
-    return F.array_join(
-        F.transform(
-            kept, lambda e: F.concat(_query_escape(e.key), F.lit("="), _query_escape(e.value))
-        ),
-        "&",
+    tracking = lit(f"^(?:{'|'.join(TRACKING_PARAMS)})$")
+    kept = keep(decoded, lambda e: f"not {e}.key rlike {tracking}")
+    written = each(
+        f"array_sort({kept})",
+        lambda e: f"concat({_query_escape(f'{e}.key')}, '=', {_query_escape(f'{e}.value')})",
     )
+    return f"array_join({written}, '&')"
 
 
-def _with_query(head: Column, query: Column) -> Column:
+def _with_query(head: Sql, query: Sql) -> Sql:
     """``head`` plus the cleaned query; a lone ``?`` is kept, a query cleaned away is not."""
-    return (
-        F.when(query.isNull(), head)
-        .when(query == "", F.concat(head, F.lit("?")))
-        .otherwise(
-            let(
-                clean_query(query),
-                lambda q: F.when(q == "", head).otherwise(F.concat(head, F.lit("?"), q)),
-            )
-        )
-    )
+    cleaned = let(clean_query(query), lambda q: f"if({q} = '', '', concat('?', {q}))")
+    return f"""case
+        when {query} is null then {head}
+        when {query} = '' then concat({head}, '?')
+        else concat({head}, {cleaned}) end"""
 
 
-def is_link(href: Column) -> Column:
+def is_link(href: Sql) -> Sql:
     """True for hrefs worth resolving: not empty, no fragment-only, script, mail or phone link."""
-    skipped = href == ""
-    for prefix in SKIPPED_PREFIXES:
-        skipped = skipped | href.startswith(prefix)
-    return ~skipped
+    return f"(not {href} rlike {lit('^(?:$|' + '|'.join(SKIPPED_PREFIXES) + ')')})"
 
 
-def resolve_url(href: Column, base: Column) -> Column:
+def resolve_url(href: Sql, base: Sql) -> Sql:
     """``href`` resolved against ``base`` (RFC 3986), query and fragment kept; NULL if malformed."""
 
-    def write(parts):
-        fragment = F.when(
-            parts.fragment.rlike(r"^[A-Za-z0-9\-_.~!$&'()*+,;=:@\[\]%/?]*$"), parts.fragment
-        ).otherwise(_percent_encode(_percent_decode(parts.fragment), _KEEP_IN_FRAGMENT))
-        return F.concat(
-            parts.head,
-            F.coalesce(F.concat(F.lit("?"), parts.query), F.lit("")),
-            F.when(parts.fragment == "", F.lit("")).otherwise(F.concat(F.lit("#"), fragment)),
+    def write(p):
+        fragment = let(
+            f"{p}.fragment",
+            lambda f: f"if({f} rlike {lit(_PLAIN_FRAGMENT)}, {f}, "
+            f"{_percent_encode(_percent_decode(f), _KEEP_IN_FRAGMENT)})",
+        )
+        return (
+            f"concat({p}.head, coalesce(concat('?', {p}.query), ''), "
+            f"if({p}.fragment = '', '', concat('#', {fragment})))"
         )
 
     return let(
@@ -256,93 +212,88 @@ def resolve_url(href: Column, base: Column) -> Column:
     )
 
 
-def normalize_url(href: Column, base: Column) -> Column:
-    """Absolute, fragment-free, tracking-free form of ``href``; NULL when it is no link."""
-    return let(split_url(base), lambda b: _normalize(href, b))
-
-
-def normalize_urls(hrefs: Column, base: Column) -> Column:
-    """``normalize_url`` over an array; the base is split once, non-links are dropped."""
-    return let(
-        split_url(base),
-        lambda b: F.filter(
-            F.transform(hrefs, lambda h: _normalize(h, b)), lambda u: u.isNotNull()
+def normalize_in(href: Sql, split_base: Sql) -> Sql:
+    """``normalize_url`` against an already split base."""
+    written = let(
+        split_url(href),
+        lambda r: let(
+            _resolve(r, split_base), lambda p: _with_query(f"{p}.head", f"{p}.query")
         ),
     )
+    return f"if({is_link(href)}, {written}, null)"
 
 
-def normalize_in(href: Column, split_base: Column) -> Column:
-    """``normalize_url`` against an already split base."""
-    return _normalize(href, split_base)
+def normalize_url(href: Sql, base: Sql) -> Sql:
+    """Absolute, fragment-free, tracking-free form of ``href``; NULL when it is no link."""
+    return let(split_url(base), lambda b: let(href, lambda h: normalize_in(h, b)))
 
 
-def _normalize(href: Column, split_base: Column) -> Column:
-    return F.when(
-        is_link(href),
-        let(
-            split_url(href),
-            lambda r: let(_resolve(r, split_base), lambda p: _with_query(p["head"], p["query"])),
+def normalize_urls(hrefs: Sql, base: Sql) -> Sql:
+    """``normalize_url`` over an array; the base is split once, non-links are dropped."""
+    return let(
+        split_url(base),
+        lambda b: keep(
+            each(hrefs, lambda h: normalize_in(h, b)), lambda u: f"{u} is not null"
         ),
     )
 
 
-def strip_fragment(url: Column) -> Column:
-    return F.substring_index(url, "#", 1)
+def strip_fragment(url: Sql) -> Sql:
+    return f"substring_index({url}, '#', 1)"
 
 
-def strip_tracking(url: Column) -> Column:
+def strip_tracking(url: Sql) -> Sql:
     """Delete tracking parameters and re-encode the query; an unparseable URL is returned as is."""
 
     def write(s):
-        head = F.substring_index(F.substring_index(url, "#", 1), "?", 1)
-        fragment = F.when(s.fragment == "", F.lit("")).otherwise(
-            F.concat(F.lit("#"), s.fragment)
+        head = f"substring_index(substring_index({url}, '#', 1), '?', 1)"
+        return (
+            f"if({s}.valid, concat({_with_query(head, f'{s}.query')}, "
+            f"if({s}.fragment = '', '', concat('#', {s}.fragment))), {url})"
         )
-        return F.when(s.valid, F.concat(_with_query(head, s["query"]), fragment)).otherwise(url)
 
     return let(split_url(url), write)
 
 
-def url_scheme(url: Column) -> Column:
+def url_scheme(url: Sql) -> Sql:
     """Lower-case scheme, or the empty string."""
-    return F.lower(F.regexp_extract(url, "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
+    return f"lower(regexp_extract({url}, {lit(_SCHEME)}, 1))"
 
 
-def url_host(url: Column) -> Column:
+def url_host(url: Sql) -> Sql:
     """Host with its port, case kept; empty when the URL has no authority."""
-    return F.regexp_extract(
-        url, "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#]*)", 1
-    )
+    pattern = lit("^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#]*)")
+    return f"regexp_extract({url}, {pattern}, 1)"
 
 
-def domain_no_port(url: Column) -> Column:
-    return F.substring_index(url_host(url), ":", 1)
+def domain_no_port(url: Sql) -> Sql:
+    return f"substring_index({url_host(url)}, ':', 1)"
 
 
-def url_origin(url: Column) -> Column:
+def url_origin(url: Sql) -> Sql:
     """``scheme://host``."""
-    return F.concat(url_scheme(url), F.lit("://"), url_host(url))
+    return f"concat({url_scheme(url)}, '://', {url_host(url)})"
 
 
-def url_path(url: Column) -> Column:
+def url_path(url: Sql) -> Sql:
     """Decoded path without query and fragment."""
-    raw = F.regexp_extract(
-        url, "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1
+    pattern = lit("^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)")
+    return let(
+        f"regexp_extract({url}, {pattern}, 1)",
+        lambda raw: f"if(contains({raw}, '%'), {_percent_decode(raw)}, {raw})",
     )
-    return F.when(F.contains(raw, F.lit("%")), _percent_decode(raw)).otherwise(raw)
 
 
-def robots_url(url: Column) -> Column:
-    return F.concat(url_origin(url), F.lit("/robots.txt"))
+def robots_url(url: Sql) -> Sql:
+    return f"concat({url_origin(url)}, '/robots.txt')"
 
 
-def strip_wildcard(name: Column) -> Column:
+def strip_wildcard(name: Sql) -> Sql:
     """Trimmed host name without a leading ``*.``."""
-    return F.regexp_replace(trim_space(name), r"^\*\.", "")
+    return f"regexp_replace({trim_space(name)}, {lit(r'^\*\.')}, '')"
 
 
-def trim_space(text: Column) -> Column:
+def trim_space(text: Sql) -> Sql:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(
-        text, r"^[\s\x85\p{Z}]+|[\s\x85\p{Z}]+$", ""
-    )
+    pattern = lit(r"^[\s\x85\p{Z}]+|[\s\x85\p{Z}]+$")
+    return f"regexp_replace({text}, {pattern}, '')"
