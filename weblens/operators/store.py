@@ -139,18 +139,19 @@ def broken_links(links: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def page_profile(pages: DataFrame, meta_tags: DataFrame, structured_data: DataFrame) -> DataFrame:
-    """One row per page with its meta map and JSON-LD blocks.
+    """One row per page with its meta map and distinct JSON-LD blocks.
 
-    The detail tables are grouped by page before the join, so no page row is
-    multiplied; a group is the tags of one page.
+    The detail tables are reduced per (url, name) and grouped by page before
+    the join, so no page row is multiplied and repeats never pile up.
     """
-    meta = meta_tags.groupBy("url").agg(
-        F.map_from_entries(F.array_sort(F.collect_set(F.struct("name", "content")))).alias(
-            "meta_tags"
-        )
+    meta = (
+        meta_tags.groupBy("url", "name")
+        .agg(F.max("content").alias("content"))
+        .groupBy("url")
+        .agg(F.map_from_entries(F.collect_list(F.struct("name", "content"))).alias("meta_tags"))
     )
     blocks = structured_data.groupBy("url").agg(
-        F.array_sort(F.collect_list("json_data")).alias("json_data")
+        F.array_sort(F.collect_set("json_data")).alias("json_data")
     )
     return pages.join(meta, "url", "left").join(blocks, "url", "left")
 
