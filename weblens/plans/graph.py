@@ -16,31 +16,35 @@ def breadth_first(
     whether a round found anything, and a lost executor repeats one round.
     """
     space = Workspace(spark, "bfs")
+    base = space.file("visited")
+    schema = "url string, parent_url string, depth int"
+
+    def write_round(depth: int, found: DataFrame) -> DataFrame:
+        found.select("url", "parent_url").write.mode("overwrite").parquet(f"{base}/depth={depth}")
+        return read_rounds(depth, depth)
+
+    def read_rounds(first: int, last: int) -> DataFrame:
+        folders = [f"{base}/depth={d}" for d in range(first, last + 1)]
+        return spark.read.schema(schema).option("basePath", base).parquet(*folders)
+
     edges = space.table("edges", edges.select("source_url", "target_url"))
-    empty_parent = F.lit(None).cast("string").alias("parent_url")
-    frontier = space.table("round-0", seeds.select("url").distinct().select("url", empty_parent))
-    rounds = [frontier.select("url", "parent_url", F.lit(0).alias("depth"))]
-    visited = frontier.select("url")
+    no_parent = F.lit(None).cast("string").alias("parent_url")
+    frontier = write_round(0, seeds.select("url").distinct().select("url", no_parent))
     depth = 0
     while max_depth is None or depth < max_depth:
-        depth += 1
         # The smallest parent of the round before is the one recorded.
         found = (
             frontier.select(F.col("url").alias("source_url"))
             .join(edges, "source_url")
             .groupBy(F.col("target_url").alias("url"))
             .agg(F.min("source_url").alias("parent_url"))
-            .join(visited, "url", "left_anti")
+            .join(read_rounds(0, depth).select("url"), "url", "left_anti")
         )
-        frontier = space.table(f"round-{depth}", found)
+        frontier = write_round(depth + 1, found)
         if frontier.isEmpty():
             break
-        rounds.append(frontier.select("url", "parent_url", F.lit(depth).alias("depth")))
-        visited = visited.unionByName(frontier.select("url"))
-    out = rounds[0]
-    for part in rounds[1:]:
-        out = out.unionByName(part)
-    return out
+        depth += 1
+    return read_rounds(0, depth)
 
 
 def crawl_depth_bfs(
