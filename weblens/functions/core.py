@@ -54,13 +54,13 @@ def keep(array: Sql, test: Callable[[Sql], Sql]) -> Sql:
 def uniform(*parts: Sql) -> Sql:
     """Repeatable uniform number in [0, 1) from the md5 of the given columns."""
     text = ", ".join(f"cast({p} as string)" for p in parts)
-    return f"cast(conv(substr(md5(concat_ws('|', {text})), 1, 8), 16, 10) as double) / 4294967296D"
+    return f"(cast(conv(substr(md5(concat_ws('|', {text})), 1, 8), 16, 10) as double) / 4294967296D)"
 
 
 def percent_of(*parts: Sql) -> Sql:
     """Repeatable whole number 0..99 from the md5 of the given columns."""
     text = ", ".join(f"cast({p} as string)" for p in parts)
-    return f"cast(conv(substr(md5(concat_ws('|', {text})), 1, 8), 16, 10) as bigint) % 100"
+    return f"(cast(conv(substr(md5(concat_ws('|', {text})), 1, 8), 16, 10) as bigint) % 100)"
 
 
 def rfc3339(ts: Sql) -> Sql:
