@@ -23,7 +23,7 @@ from weblens.plans import extraction, graph, inputs  # noqa: E402
 from weblens.plans.page_results import page_results  # noqa: E402
 from weblens.schemas import PAGE_RESULT_COLUMNS  # noqa: E402
 from weblens.sinks import exports, store as store_sink  # noqa: E402
-from weblens.sources import results as result_sources, seeds, sitemaps  # noqa: E402
+from weblens.sources import pages as page_sources, results as result_sources, seeds, sitemaps  # noqa: E402
 from weblens.streaming import crawl, run, stateful  # noqa: E402
 from weblens.workspace import Workspace  # noqa: E402
 
@@ -65,8 +65,12 @@ def _pages(spark, d):
     return inputs.load(spark, d, "pages")
 
 
+def _bodies(spark, d):
+    return page_sources.read_pages(spark, f"{d}/pages.parquet")
+
+
 def _px(spark, d):
-    return inputs.enriched_pages(_pages(spark, d))
+    return inputs.enriched_pages(_bodies(spark, d))
 
 
 def _results(spark, d):
@@ -436,7 +440,7 @@ def crawl_summary(spark, d):
 
 @query
 def most_linked_pages(spark, d):
-    return store.most_linked_pages(extraction.link_targets(_pages(spark, d)))
+    return store.most_linked_pages(extraction.link_targets(_bodies(spark, d)))
 
 
 @query
@@ -649,7 +653,7 @@ def weight_math(spark, d):
 
 @query
 def extract_title(spark, d):
-    return extraction.with_clean(_pages(spark, d)).selectExpr(
+    return extraction.with_clean(_bodies(spark, d)).selectExpr(
         "page_id", f"{H.title('cleaned')} as title"
     )
 
@@ -727,7 +731,7 @@ def extract_by_selector(spark, d):
 
 def _page_results(spark, d):
     pages = _pages(spark, d)
-    queued = pages.selectExpr(
+    queued = _bodies(spark, d).selectExpr(
         "url",
         "html",
         "cast(page_id % 5 as int) as depth",

@@ -99,7 +99,8 @@ BFS = (
 walk AS (
   SELECT url, 0 AS depth FROM pages WHERE page_id = 0
   UNION
-  SELECT g.target_url, depth + 1 FROM walk JOIN g ON g.source_url = walk.url WHERE depth < 24),
+  SELECT g.target_url, depth + 1 FROM walk JOIN g ON g.source_url = walk.url
+  WHERE depth < (SELECT count(*) FROM pages)),
 least AS (SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY url),
 bfs AS (
   SELECT l.url, l.depth, min(p.url) AS parent_url

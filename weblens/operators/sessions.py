@@ -1,6 +1,8 @@
 """Sessions capped by age and by number of events, and trailing-window activity."""
 
-import pandas as pd
+from bisect import bisect_right
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from weblens.shipping import ship_package
@@ -41,11 +43,17 @@ def capped_sessions(
             F.collect_list(F.when(F.col("n") >= F.col("size") - max_events, at))
         ).alias("tail"),
     )
-    entry = summary.select(
-        "user_id", "chunk", "size", F.col("head.us").alias("head"), F.col("tail.us").alias("tail")
-    ).groupBy("user_id").applyInPandas(
-        _entry_states(max_age_seconds * 1_000_000, max_events),
-        "user_id long, chunk long, first_start long, open_no long",
+    # One pass over each user's descriptions in time order; no group is held in memory.
+    entry = (
+        summary.select(
+            "user_id", "chunk", "size", F.col("head.us").alias("head"), F.col("tail.us").alias("tail")
+        )
+        .repartition("user_id")
+        .sortWithinPartitions("user_id", "chunk")
+        .mapInArrow(
+            _entry_states(max_age_seconds * 1_000_000, max_events),
+            "user_id long, chunk long, first_start long, open_no long",
+        )
     )
     later = F.expr(f"if(n < first_start, 0L, 1 + (n - first_start) div {max_events})")
     return (
@@ -55,35 +63,40 @@ def capped_sessions(
 
 
 def _entry_states(max_age_us: int, max_events: int):
-    """Walk one user's chunk descriptions; say where each chunk's first new session starts."""
+    """Walk chunk descriptions in (user, time) order; say where each chunk's first session starts."""
 
-    def walk(chunks: pd.DataFrame) -> pd.DataFrame:
-        chunks = chunks.sort_values("chunk")
-        start_us, used, number = None, 0, 0
-        firsts, numbers = [], []
-        for size, head, tail in zip(chunks["size"], chunks["head"], chunks["tail"]):
-            if start_us is None:
-                first = 0
-            else:
-                by_age = next((i for i, us in enumerate(head) if us - start_us > max_age_us), size)
-                first = min(by_age, max_events - used, size)
-            firsts.append(first)
-            numbers.append(number)
-            if first < size:
-                begun = (size - 1 - first) // max_events
-                last = first + begun * max_events
-                start_us, used = int(tail[last - size]), size - last
-                number += 1 + begun
-            else:
-                used += size
-        return pd.DataFrame(
-            {
-                "user_id": chunks["user_id"],
-                "chunk": chunks["chunk"],
-                "first_start": firsts,
-                "open_no": numbers,
-            }
-        )
+    def walk(batches):
+        user, start_us, used, number = None, 0, 0, 0
+        for batch in batches:
+            columns = batch.to_pydict()
+            firsts, numbers = [], []
+            for who, size, head, tail in zip(
+                columns["user_id"], columns["size"], columns["head"], columns["tail"]
+            ):
+                if who != user:
+                    user, number, first = who, 0, 0
+                else:
+                    aged = bisect_right(head, start_us + max_age_us)
+                    # Past the first events the cap has ended the session already.
+                    first = min(aged if aged < len(head) else size, max_events - used, size)
+                firsts.append(first)
+                numbers.append(number)
+                if first < size:
+                    begun = (size - 1 - first) // max_events
+                    last = first + begun * max_events
+                    start_us, used = tail[last - size], size - last
+                    number += 1 + begun
+                else:
+                    used += size
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("user_id"),
+                    batch.column("chunk"),
+                    pa.array(firsts, pa.int64()),
+                    pa.array(numbers, pa.int64()),
+                ],
+                names=["user_id", "chunk", "first_start", "open_no"],
+            )
 
     return walk
 

@@ -1,10 +1,12 @@
 """Breadth-first traversal of a link graph."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from weblens.operators.frontier import crawl_scope_filter
 from weblens.workspace import Workspace
 
+_MERGE_ROUNDS = 16
+
 
 def breadth_first(
     spark: SparkSession, seeds: DataFrame, edges: DataFrame, max_depth: int | None = None
@@ -12,39 +14,51 @@ def breadth_first(
     """Nodes reachable from ``seeds`` (column ``url``) with least depth and parent.
 
     Every round is a join, a combined aggregation and an anti join, written to
-    the shared folder; the next round reads it back. The driver learns only
-    whether a round found anything, and a lost executor repeats one round.
+    the shared folder; the next round reads it back. The driver learns only how
+    many nodes a round found, and a lost executor repeats one round. Finished
+    rounds are merged now and then, so a deep graph does not end in a folder
+    listing per node.
     """
     space = Workspace(spark, "bfs")
-    base = space.file("visited")
-    schema = "url string, parent_url string, depth int"
+    reader = spark.read.schema("url string, parent_url string, depth int")
+    settled: list[str] = []
+    recent: list[str] = []
 
-    def write_round(depth: int, found: DataFrame) -> DataFrame:
-        found.select("url", "parent_url").write.mode("overwrite").parquet(f"{base}/depth={depth}")
-        return read_rounds(depth, depth)
+    def save(name: str, nodes: DataFrame) -> int:
+        counter = Observation()
+        counted = nodes.observe(counter, F.count(F.lit(1)).alias("n"))
+        counted.write.parquet(space.file(name))
+        return counter.get["n"]
 
-    def read_rounds(first: int, last: int) -> DataFrame:
-        folders = [f"{base}/depth={d}" for d in range(first, last + 1)]
-        return spark.read.schema(schema).option("basePath", base).parquet(*folders)
+    def read(names: list[str]) -> DataFrame:
+        return reader.parquet(*[space.file(n) for n in names])
 
     edges = space.table("edges", edges.select("source_url", "target_url"))
-    no_parent = F.lit(None).cast("string").alias("parent_url")
-    frontier = write_round(0, seeds.select("url").distinct().select("url", no_parent))
+    start = seeds.select("url").distinct()
+    save("round-0", start.selectExpr("url", "cast(null as string) as parent_url", "0 as depth"))
+    recent.append("round-0")
     depth = 0
     while max_depth is None or depth < max_depth:
         # The smallest parent of the round before is the one recorded.
         found = (
-            frontier.select(F.col("url").alias("source_url"))
+            read(recent[-1:])
+            .select(F.col("url").alias("source_url"))
             .join(edges, "source_url")
             .groupBy(F.col("target_url").alias("url"))
             .agg(F.min("source_url").alias("parent_url"))
-            .join(read_rounds(0, depth).select("url"), "url", "left_anti")
+            .join(read(settled + recent).select("url"), "url", "left_anti")
+            .select("url", "parent_url", F.lit(depth + 1).alias("depth"))
         )
-        frontier = write_round(depth + 1, found)
-        if frontier.isEmpty():
-            break
         depth += 1
-    return read_rounds(0, depth)
+        if save(f"round-{depth}", found) == 0:
+            break
+        recent.append(f"round-{depth}")
+        if len(recent) > _MERGE_ROUNDS:
+            merged = f"settled-{depth}"
+            read(recent[:-1]).write.parquet(space.file(merged))
+            settled.append(merged)
+            recent = recent[-1:]
+    return read(settled + recent)
 
 
 def crawl_depth_bfs(

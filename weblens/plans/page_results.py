@@ -6,6 +6,7 @@ from weblens.functions import html as H
 from weblens.functions.retry import MAX_RETRIES
 from weblens.operators.fetchlog import fetch_outcome
 from weblens.operators.robots import robots_decisions
+from weblens.plans.extraction import with_clean
 
 
 def page_results(
@@ -18,40 +19,40 @@ def page_results(
     """PAGE_RESULT rows: robots check, fetch outcome, then title and links of fetched pages.
 
     ``pages`` brings url, html, depth and crawled_at. The error is that of the
-    first failing stage. Bodies stay out of the joins: outcomes are decided on
-    URLs alone, and a body is parsed only where its fetch succeeded.
+    first failing stage. A body is parsed where it is read, so the joins move
+    a page's title and counts and never its HTML.
     """
-    decided = (
-        robots_decisions(pages.select("url"), robots, agent)
-        .join(
-            fetch_outcome(attempts, max_retries).withColumnsRenamed(
-                {"status_code": "answer", "error": "failure"}
-            ),
-            "url",
-            "left",
-        )
-        .select(
-            "url",
-            F.when(F.col("allowed") & F.col("failure").isNull(), F.col("answer")).alias("answer"),
+    parsed = with_clean(pages).selectExpr(
+        "url",
+        "depth",
+        "crawled_at",
+        "cast(octet_length(html) as bigint) as content_length",
+        f"{H.title('cleaned')} as title",
+        f"cast(size({H.page_links('cleaned', 'url')}) as int) as link_count",
+    )
+    outcomes = fetch_outcome(attempts, max_retries).select(
+        "url", F.col("status_code").alias("answer"), F.col("error").alias("failure")
+    )
+    return (
+        robots_decisions(parsed, robots, agent)
+        .join(outcomes, "url", "left")
+        .withColumn(
+            "error",
             F.expr(
                 """case when not allowed then 'blocked by robots.txt'
                 when failure is not null then concat('request failed: ', failure)
                 when answer is null then 'nil response'
                 when answer <> 200 then concat('non-200 status: ', answer) end"""
-            ).alias("error"),
+            ),
+        )
+        .selectExpr(
+            "url",
+            "depth",
+            "if(allowed and failure is null, coalesce(answer, 0), 0) as status_code",
+            "if(error is null, content_length, 0L) as content_length",
+            "if(error is null, title, '') as title",
+            "if(error is null, link_count, 0) as link_count",
+            "crawled_at",
+            "error",
         )
-    )
-    joined = pages.join(decided, "url").withColumn(
-        "cleaned", F.expr(f"if(error is null, {H.clean('html')}, null)")
-    )
-    links = H.page_links("cleaned", "url")
-    return joined.selectExpr(
-        "url",
-        "depth",
-        "coalesce(answer, 0) as status_code",
-        "cast(if(error is null, octet_length(html), 0) as bigint) as content_length",
-        f"if(error is null, {H.title('cleaned')}, '') as title",
-        f"cast(if(error is null, size({links}), 0) as int) as link_count",
-        "crawled_at",
-        "error",
     )
