@@ -35,6 +35,14 @@ def test_matches_an_ordered_walk(spark, seed, span, max_age, max_events):
         # Whole seconds, so ages meet the limit exactly now and then.
         rows.append((user, event, START + timedelta(seconds=rng.randrange(span))))
     events = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp")
-    got = capped_sessions(events, max_age, max_events).collect()
-    assert len(got) == len(rows)
-    assert {r.event_id: r.session_no for r in got} == brute(rows, max_age, max_events)
+    for chunk in (300, 13):
+        got = capped_sessions(events, max_age, max_events, chunk).collect()
+        assert len(got) == len(rows)
+        assert {r.event_id: r.session_no for r in got} == brute(rows, max_age, max_events)
+
+
+def test_times_before_1970(spark):
+    rows = [(1, i, datetime(1969, 12, 31, 23, 59) + timedelta(seconds=7 * i)) for i in range(40)]
+    events = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp")
+    got = capped_sessions(events, 30, 100).collect()
+    assert {r.event_id: r.session_no for r in got} == brute(rows, 30, 100)

@@ -65,8 +65,11 @@ def host_failure_streak(log: DataFrame, chunk_seconds: int = 300) -> DataFrame:
     in_chunk = Window.partitionBy("host", "chunk").orderBy(*_ORDER).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
+    # Shuffled as raw columns once; both uses of ``counted`` below read that exchange.
     counted = (
         log.withColumn("chunk", F.expr(f"unix_seconds(ts) div {chunk_seconds}"))
+        .where("host is not null and chunk is not null")
+        .repartition("host", "chunk")
         .withColumn("failed", F.expr(f"cast({retryable()} as bigint)"))
         .withColumn("ok", F.expr("failed = 0 and status_code = 200"))
         .withColumn("fails", F.sum("failed").over(in_chunk))

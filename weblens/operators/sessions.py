@@ -12,7 +12,10 @@ MAX_EVENTS = 100
 
 
 def capped_sessions(
-    events: DataFrame, max_age_seconds: int = MAX_AGE_SECONDS, max_events: int = MAX_EVENTS
+    events: DataFrame,
+    max_age_seconds: int = MAX_AGE_SECONDS,
+    max_events: int = MAX_EVENTS,
+    chunk_seconds: int = 300,
 ) -> DataFrame:
     """Number each user's events by session (``session_no`` from 1).
 
@@ -27,10 +30,14 @@ def capped_sessions(
     spread over their chunks.
     """
     ship_package()
-    chunk = F.expr(f"unix_micros(ts) div {max_age_seconds * 1_000_000}")
+    width_us = min(chunk_seconds, max_age_seconds) * 1_000_000
+    chunk = F.expr(f"(unix_micros(ts) - pmod(unix_micros(ts), {width_us})) div {width_us}")
     in_chunk = Window.partitionBy("user_id", "chunk").orderBy("ts", "event_id")
+    # One exchange serves both uses of ``numbered`` below.
     numbered = (
         events.withColumn("chunk", chunk)
+        .where("user_id is not null and chunk is not null")
+        .repartition("user_id", "chunk")
         .withColumn("n", F.row_number().over(in_chunk) - 1)
         .withColumn("size", F.count("*").over(Window.partitionBy("user_id", "chunk")))
     )
