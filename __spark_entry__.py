@@ -306,7 +306,7 @@ def pages_with_meta(spark, d):
 def link_skip_filter(spark, d):
     return (
         extraction.with_clean(_px(spark, d))
-        .selectExpr("page_id", f"posexplode({H.anchor_hrefs('cleaned')}) as (pos, href)")
+        .selectExpr("page_id", f"posexplode({H.anchor_hrefs('tags')}) as (pos, href)")
         .where(urls.is_link("href"))
     )
 
@@ -569,7 +569,7 @@ def bloom_seen_filter(spark, d):
 
 def _anchor_hrefs(spark, d):
     return extraction.with_clean(_px(spark, d)).selectExpr(
-        "page_id", "url", f"posexplode({H.anchor_hrefs('cleaned')}) as (pos, href)"
+        "page_id", "url", f"posexplode({H.anchor_hrefs('tags')}) as (pos, href)"
     )
 
 
@@ -666,7 +666,7 @@ def extract_links(spark, d):
 @query
 def extract_meta(spark, d):
     return extraction.with_clean(_px(spark, d)).selectExpr(
-        "page_id", f"posexplode({H.meta_entries('cleaned')}) as (pos, entry)"
+        "page_id", f"posexplode({H.meta_entries('tags')}) as (pos, entry)"
     ).select("page_id", "pos", "entry.name", "entry.content")
 
 
@@ -678,17 +678,17 @@ def _assets(spark, d, expression, name):
 
 @query
 def extract_images(spark, d):
-    return _assets(spark, d, H.images("cleaned", "url"), "image")
+    return _assets(spark, d, H.images("tags", "url"), "image")
 
 
 @query
 def extract_scripts(spark, d):
-    return _assets(spark, d, H.scripts("cleaned", "url"), "script")
+    return _assets(spark, d, H.scripts("tags", "url"), "script")
 
 
 @query
 def extract_stylesheets(spark, d):
-    return _assets(spark, d, H.stylesheets("cleaned", "url"), "stylesheet")
+    return _assets(spark, d, H.stylesheets("tags", "url"), "stylesheet")
 
 
 @query

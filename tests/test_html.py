@@ -9,8 +9,8 @@ BASE = "https://example.com/dir/page"
 
 
 def run(spark, text, *exprs):
-    df = spark.createDataFrame([(text,)], "html string").withColumn("c", F.expr(H.clean("html")))
-    return df.select(*[F.expr(e("html", "c")).alias(f"c{i}") for i, e in enumerate(exprs)]).first()
+    df = spark.createDataFrame([(text,)], "html string").withColumn("c", F.expr(H.clean("html"))).withColumn("t", F.expr(H.tags("c")))
+    return df.select(*[F.expr(e("html", "c", "t")).alias(f"c{i}") for i, e in enumerate(exprs)]).first()
 
 
 PAGE = """<!DOCTYPE html><HTML><head><title lang=en>A &amp; B &#8364;&#x41;&copy</title><title>second</title>
@@ -31,15 +31,15 @@ def test_everything(spark):
     row = run(
         spark,
         PAGE,
-        lambda h, c: H.title(c),
-        lambda h, c: H.page_links(c, b),
-        lambda h, c: H.anchor_links(c, b),
-        lambda h, c: H.images(c, b),
-        lambda h, c: H.scripts(c, b),
-        lambda h, c: H.stylesheets(c, b),
-        lambda h, c: H.meta_map(c),
-        lambda h, c: H.jsonld(h),
-        lambda h, c: H.anchors(c, b),
+        lambda h, c, t: H.title(c),
+        lambda h, c, t: H.page_links(t, b),
+        lambda h, c, t: H.anchor_links(t, b),
+        lambda h, c, t: H.images(t, b),
+        lambda h, c, t: H.scripts(t, b),
+        lambda h, c, t: H.stylesheets(t, b),
+        lambda h, c, t: H.meta_map(t),
+        lambda h, c, t: H.jsonld(h),
+        lambda h, c, t: H.anchors(c, b),
     )
     assert row.c0 == "A & B €A©"
     anchors = ["https://example.com/dir/one?a=2&b=1", "https://example.com/dir/two"]
@@ -59,7 +59,7 @@ def test_everything(spark):
 
 def test_empty_page(spark):
     b = lit(BASE)
-    row = run(spark, "", lambda h, c: H.title(c), lambda h, c: H.page_links(c, b), lambda h, c: H.meta_map(c))
+    row = run(spark, "", lambda h, c, t: H.title(c), lambda h, c, t: H.page_links(t, b), lambda h, c, t: H.meta_map(t))
     assert row.c0 == "" and row.c1 == [] and row.c2 == {}
 
 
@@ -69,7 +69,7 @@ def test_title_and_links(spark):
         '<a href="https://example.com/page1">1</a><a href="/page2">2</a><a href="page3">3</a></body></html>'
     )
     b = lit("https://example.com")
-    row = run(spark, page, lambda h, c: H.title(c), lambda h, c: H.page_links(c, b))
+    row = run(spark, page, lambda h, c, t: H.title(c), lambda h, c, t: H.page_links(t, b))
     assert row.c0 == "Test Page"
     assert row.c1 == [f"https://example.com/page{i}" for i in (1, 2, 3)]
 
@@ -77,7 +77,7 @@ def test_title_and_links(spark):
 def test_markup_inside_title_is_text(spark):
     b = lit(BASE)
     row = run(
-        spark, '<title><a href="/x">t</a></title><a href="/y">y</a>', lambda h, c: H.title(c), lambda h, c: H.page_links(c, b)
+        spark, '<title><a href="/x">t</a></title><a href="/y">y</a>', lambda h, c, t: H.title(c), lambda h, c, t: H.page_links(t, b)
     )
     assert row.c0 == '<a href="/x">t</a>'
     assert row.c1 == ["https://example.com/y"]
@@ -88,10 +88,10 @@ def test_unterminated_comment_and_script(spark):
     row = run(
         spark,
         '<a href="/a">a</a><!-- <a href="/b">b</a>',
-        lambda h, c: H.page_links(c, b),
+        lambda h, c, t: H.page_links(t, b),
     )
     assert row.c0 == ["https://example.com/a"]
-    row = run(spark, '<a href="/a">a</a><script> <a href="/b">b</a>', lambda h, c: H.page_links(c, b))
+    row = run(spark, '<a href="/a">a</a><script> <a href="/b">b</a>', lambda h, c, t: H.page_links(t, b))
     assert row.c0 == ["https://example.com/a"]
 
 
@@ -103,7 +103,7 @@ def test_unescape_matches_standard_library(spark):
 
 
 def test_bare_entity_in_attribute_query(spark):
-    row = run(spark, '<a href="/p?a=1&copy=2">x</a>', lambda h, c: H.anchor_hrefs(c))
+    row = run(spark, '<a href="/p?a=1&copy=2">x</a>', lambda h, c, t: H.anchor_hrefs(t))
     assert row.c0 == ["/p?a=1&copy=2"]
 
 

@@ -105,15 +105,28 @@ def clean(html: Sql) -> Sql:
     return f"regexp_replace({html}, {lit(f'(?is){_RAW_BLOCK}')}, '$1')"
 
 
-def _tags(cleaned: Sql, name: str, tail: str = "") -> Sql:
-    """Start tags called ``name`` in page order; text inside ``<title>`` is no markup."""
-    pattern = rf"(?is){_TITLE}|<{name}(?=[\s/>]){_ATTRS}>{tail}"
+def _title_aside(pattern: str) -> str:
+    """Search pattern that steps over a title element, whose text is no markup."""
+    return rf"(?is){_TITLE}|{pattern}"
+
+
+def _found(cleaned: Sql, pattern: str) -> Sql:
     return keep(
-        f"regexp_extract_all({cleaned}, {lit(pattern)}, 0)",
+        f"regexp_extract_all({cleaned}, {lit(_title_aside(pattern))}, 0)",
         lambda t: f"lower(left({t}, 6)) <> '<title'",
     )
 
 
+def tags(cleaned: Sql) -> Sql:
+    """Start tags that carry links, assets or metadata, in page order: one scan for all of them."""
+    return _found(cleaned, rf"<(?:a|img|link|meta|script)(?=[\s/>]){_ATTRS}>")
+
+
+def _named(tags: Sql, name: str) -> Sql:
+    # No two of the names ``tags`` finds begin alike.
+    return keep(tags, lambda t: f"lower(left({t}, {len(name) + 1})) = '<{name}'")
+
+
 def attribute(tag: Sql, name: str) -> Sql:
     """Decoded value of the first attribute ``name``; NULL if absent, empty if valueless."""
     other = r"""[\s/]*+[^\s"'>/=][^\s>/=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
@@ -145,14 +158,14 @@ def title(cleaned: Sql) -> Sql:
     return let(f"regexp_extract({cleaned}, {lit(f'(?is){_TITLE}')}, 1)", unescape)
 
 
-def anchor_hrefs(cleaned: Sql) -> Sql:
+def anchor_hrefs(tags: Sql) -> Sql:
     """href values of the anchors, in page order, not resolved."""
-    return _attributes(_tags(cleaned, "a"), "href")
+    return _attributes(_named(tags, "a"), "href")
 
 
-def _link_hrefs(cleaned: Sql, *rels: str) -> Sql:
+def _link_hrefs(tags: Sql, *rels: str) -> Sql:
     wanted = ", ".join(lit(r) for r in rels)
-    matching = keep(_tags(cleaned, "link"), lambda t: f"{attribute(t, 'rel')} in ({wanted})")
+    matching = keep(_named(tags, "link"), lambda t: f"{attribute(t, 'rel')} in ({wanted})")
     return _attributes(matching, "href")
 
 
@@ -168,7 +181,7 @@ def anchors(cleaned: Sql, base: Sql) -> Sql:
             f"'anchor_text', {trim_space(text)})"
         )
 
-    tokens = _tags(cleaned, "a", tail=r".*?(?=</a[\s>]|<a[\s>]|\z)")
+    tokens = _found(cleaned, rf"<a(?=[\s/>]){_ATTRS}>.*?(?=</a[\s>]|<a[\s>]|\z)")
     return let(
         split_url(base),
         lambda b: keep(
@@ -181,30 +194,30 @@ def anchors(cleaned: Sql, base: Sql) -> Sql:
     )
 
 
-def page_links(cleaned: Sql, base: Sql) -> Sql:
+def page_links(tags: Sql, base: Sql) -> Sql:
     """Distinct normalised links: anchors first, then alternate and canonical link tags."""
-    hrefs = f"concat({anchor_hrefs(cleaned)}, {_link_hrefs(cleaned, 'alternate', 'canonical')})"
+    hrefs = f"concat({anchor_hrefs(tags)}, {_link_hrefs(tags, 'alternate', 'canonical')})"
     return f"array_distinct({normalize_urls(hrefs, base)})"
 
 
-def anchor_links(cleaned: Sql, base: Sql) -> Sql:
+def anchor_links(tags: Sql, base: Sql) -> Sql:
     """Distinct normalised links of the anchors alone."""
-    return f"array_distinct({normalize_urls(anchor_hrefs(cleaned), base)})"
+    return f"array_distinct({normalize_urls(anchor_hrefs(tags), base)})"
 
 
-def images(cleaned: Sql, base: Sql) -> Sql:
-    return normalize_urls(_attributes(_tags(cleaned, "img"), "src"), base)
+def images(tags: Sql, base: Sql) -> Sql:
+    return normalize_urls(_attributes(_named(tags, "img"), "src"), base)
 
 
-def scripts(cleaned: Sql, base: Sql) -> Sql:
-    return normalize_urls(_attributes(_tags(cleaned, "script"), "src"), base)
+def scripts(tags: Sql, base: Sql) -> Sql:
+    return normalize_urls(_attributes(_named(tags, "script"), "src"), base)
 
 
-def stylesheets(cleaned: Sql, base: Sql) -> Sql:
-    return normalize_urls(_link_hrefs(cleaned, "stylesheet"), base)
+def stylesheets(tags: Sql, base: Sql) -> Sql:
+    return normalize_urls(_link_hrefs(tags, "stylesheet"), base)
 
 
-def meta_entries(cleaned: Sql) -> Sql:
+def meta_entries(tags: Sql) -> Sql:
     """Array of (name, content) in writing order: per tag, ``name`` before ``property``."""
 
     def read(tag):
@@ -217,19 +230,19 @@ def meta_entries(cleaned: Sql) -> Sql:
         )
 
     return keep(
-        f"flatten({each(_tags(cleaned, 'meta'), read)})",
+        f"flatten({each(_named(tags, 'meta'), read)})",
         lambda e: f"{e}.name is not null and {e}.content is not null",
     )
 
 
-def meta_map(cleaned: Sql) -> Sql:
+def meta_map(tags: Sql) -> Sql:
     """Map from meta name to content; the last writer of a name wins.
 
     Sorting by (name, latest first) keeps the cost at n log n per page and
     does not depend on the session's map-key policy.
     """
     ordered = each_indexed(
-        meta_entries(cleaned),
+        meta_entries(tags),
         lambda e, i: f"named_struct('name', {e}.name, 'late', -{i}, 'content', {e}.content)",
     )
 

@@ -6,7 +6,10 @@ from weblens.functions import html as H
 
 
 def with_clean(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("cleaned", F.expr(H.clean("html")))
+    """Adds ``cleaned``, the HTML without comments and raw text, and ``tags`` found in it."""
+    return pages.withColumn("cleaned", F.expr(H.clean("html"))).withColumn(
+        "tags", F.expr(H.tags("cleaned"))
+    )
 
 
 def extract_structured(pages: DataFrame) -> DataFrame:
@@ -15,12 +18,12 @@ def extract_structured(pages: DataFrame) -> DataFrame:
         "page_id",
         "url",
         f"""named_struct(
-            'links', {H.anchor_links("cleaned", "url")},
+            'links', {H.anchor_links("tags", "url")},
             'title', {H.title("cleaned")},
-            'meta_tags', {H.meta_map("cleaned")},
-            'images', {H.images("cleaned", "url")},
-            'scripts', {H.scripts("cleaned", "url")},
-            'stylesheets', {H.stylesheets("cleaned", "url")},
+            'meta_tags', {H.meta_map("tags")},
+            'images', {H.images("tags", "url")},
+            'scripts', {H.scripts("tags", "url")},
+            'stylesheets', {H.stylesheets("tags", "url")},
             'json_data', {H.jsonld("html")}) as data""",
     )
 
@@ -31,7 +34,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
         "page_id",
         "url",
         f"{H.title('cleaned')} as title",
-        f"{H.page_links('cleaned', 'url')} as links",
+        f"{H.page_links('tags', 'url')} as links",
     )
 
 
@@ -40,7 +43,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     return (
         with_clean(pages)
         .selectExpr(
-            "page_id", "url", f"posexplode({H.page_links('cleaned', 'url')}) as (pos, link)"
+            "page_id", "url", f"posexplode({H.page_links('tags', 'url')}) as (pos, link)"
         )
     )
 
@@ -63,14 +66,14 @@ def links_table(pages: DataFrame) -> DataFrame:
 
 def link_targets(pages: DataFrame) -> DataFrame:
     """(source_url, target_url) of every resolvable anchor; skips the anchor texts."""
-    hrefs = H.normalize_urls(H.anchor_hrefs("cleaned"), "url")
+    hrefs = H.normalize_urls(H.anchor_hrefs("tags"), "url")
     return with_clean(pages).selectExpr("url as source_url", f"explode({hrefs}) as target_url")
 
 
 def meta_tags_table(pages: DataFrame) -> DataFrame:
     """META_TAGS rows: one per page and meta name, last content wins."""
     return with_clean(pages).selectExpr(
-        "url", f"explode({H.meta_map('cleaned')}) as (name, content)"
+        "url", f"explode({H.meta_map('tags')}) as (name, content)"
     )
 
 
@@ -85,9 +88,9 @@ def asset_counts(pages: DataFrame) -> DataFrame:
         with_clean(pages)
         .selectExpr(
             "url",
-            f"{H.meta_map('cleaned')} as meta",
-            f"cast(size({H.images('cleaned', 'url')}) as int) as image_count",
-            f"cast(size({H.scripts('cleaned', 'url')}) as int) as script_count",
+            f"{H.meta_map('tags')} as meta",
+            f"cast(size({H.images('tags', 'url')}) as int) as image_count",
+            f"cast(size({H.scripts('tags', 'url')}) as int) as script_count",
         )
         .selectExpr(
             "url",

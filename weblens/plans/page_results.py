@@ -28,7 +28,7 @@ def page_results(
         "crawled_at",
         "cast(octet_length(html) as bigint) as content_length",
         f"{H.title('cleaned')} as title",
-        f"cast(size({H.page_links('cleaned', 'url')}) as int) as link_count",
+        f"cast(size({H.page_links('tags', 'url')}) as int) as link_count",
     )
     outcomes = fetch_outcome(attempts, max_retries).select(
         "url", F.col("status_code").alias("answer"), F.col("error").alias("failure")

@@ -1,5 +1,7 @@
 """Seed discovery from certificate and crawl-index dumps, and their union."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weblens.functions.core import lit
@@ -76,17 +78,13 @@ def seed_union(strategy: str, seeds: dict[str, DataFrame]) -> DataFrame:
     if not chosen or strategy == "none":
         any_frame = next(iter(seeds.values()))
         return any_frame.sparkSession.createDataFrame([], "url string, strategy string, depth int")
-    parts = [
-        seeds[n].select("url", F.struct(F.lit(rank).alias("rank"), F.lit(n).alias("name")).alias("s"))
-        for rank, n in chosen
-    ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
+    parts = [seeds[n].select("url", F.lit(rank).alias("rank")) for rank, n in chosen]
+    union = reduce(DataFrame.unionByName, parts)
+    names_by_rank = F.array(*[F.lit(n) for n in names])
     return (
         union.groupBy("url")
-        .agg(F.min("s").alias("s"))
-        .select("url", F.col("s.name").alias("strategy"), F.lit(0).alias("depth"))
+        .agg(F.min("rank").alias("rank"))
+        .select("url", names_by_rank[F.col("rank")].alias("strategy"), F.lit(0).alias("depth"))
     )
 
 

@@ -6,6 +6,7 @@ from weblens.functions.core import each, let, lit
 from weblens.functions.html import unescape
 from weblens.functions.urls import trim_space, url_origin
 from weblens.plans.graph import breadth_first
+from weblens.workspace import Workspace
 
 # Where sites keep their sitemaps.
 WELL_KNOWN = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml"]
@@ -43,7 +44,8 @@ def sitemap_index_expand(spark: SparkSession, roots: DataFrame, sitemaps: DataFr
     Bodies are parsed once; the traversal runs on the nested references alone.
     """
     nested = F.col("loc").endswith(".xml") | F.col("loc").contains("sitemap")
-    locs = sitemap_locs(sitemaps.where("status = 200"))
+    space = Workspace(spark, "sitemaps")
+    locs = space.table("locs", sitemap_locs(sitemaps.where("status = 200")))
     references = locs.where(nested).select(
         F.col("sitemap_url").alias("source_url"), F.col("loc").alias("target_url")
     )
