@@ -41,21 +41,15 @@ def capped_sessions(
         .withColumn("n", F.row_number().over(in_chunk) - 1)
         .withColumn("size", F.count("*").over(Window.partitionBy("user_id", "chunk")))
     )
-    at = F.struct(F.col("n"), F.unix_micros("ts").alias("us"))
-    summary = numbered.groupBy("user_id", "chunk").agg(
+    # Session starts fall on one of a chunk's first events, last starts on one of its last.
+    edges = numbered.where(f"n < {max_events} or n >= size - {max_events}")
+    summary = edges.groupBy("user_id", "chunk").agg(
         F.max("size").alias("size"),
-        # Session starts fall on one of the first events, last starts on one of the last.
-        F.array_sort(F.collect_list(F.when(F.col("n") < max_events, at))).alias("head"),
-        F.array_sort(
-            F.collect_list(F.when(F.col("n") >= F.col("size") - max_events, at))
-        ).alias("tail"),
+        F.sort_array(F.collect_list(F.unix_micros("ts"))).alias("us"),
     )
     # One pass over each user's descriptions in time order; no group is held in memory.
     entry = (
-        summary.select(
-            "user_id", "chunk", "size", F.col("head.us").alias("head"), F.col("tail.us").alias("tail")
-        )
-        .repartition("user_id")
+        summary.repartition("user_id")
         .sortWithinPartitions("user_id", "chunk")
         .mapInArrow(
             _entry_states(max_age_seconds * 1_000_000, max_events),
@@ -75,23 +69,29 @@ def _entry_states(max_age_us: int, max_events: int):
     def walk(batches):
         user, start_us, used, number = None, 0, 0, 0
         for batch in batches:
-            columns = batch.to_pydict()
+            lists = batch.column("us")
+            times, offsets = lists.flatten().to_pylist(), lists.offsets.to_pylist()
             firsts, numbers = [], []
-            for who, size, head, tail in zip(
-                columns["user_id"], columns["size"], columns["head"], columns["tail"]
+            for who, size, begin, end in zip(
+                batch.column("user_id").to_pylist(),
+                batch.column("size").to_pylist(),
+                offsets,
+                offsets[1:],
             ):
+                low, high = begin - offsets[0], end - offsets[0]
                 if who != user:
                     user, number, first = who, 0, 0
                 else:
-                    aged = bisect_right(head, start_us + max_age_us)
-                    # Past the first events the cap has ended the session already.
-                    first = min(aged if aged < len(head) else size, max_events - used, size)
+                    # Beyond the first events the cap ends the session before its age does.
+                    head = min(low + max_events, high)
+                    aged = bisect_right(times, start_us + max_age_us, low, head)
+                    first = min(aged - low if aged < head else size, max_events - used, size)
                 firsts.append(first)
                 numbers.append(number)
                 if first < size:
                     begun = (size - 1 - first) // max_events
                     last = first + begun * max_events
-                    start_us, used = tail[last - size], size - last
+                    start_us, used = times[high - size + last], size - last
                     number += 1 + begun
                 else:
                     used += size

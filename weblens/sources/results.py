@@ -20,10 +20,10 @@ def scan_results_jsonl(spark: SparkSession, path: str) -> DataFrame:
         if failure.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], PAGE_RESULT)
-    return _go_zero_values(raw)
+    return _with_zero_values(raw)
 
 
-def _go_zero_values(raw: DataFrame) -> DataFrame:
+def _with_zero_values(raw: DataFrame) -> DataFrame:
     return raw.where("url is not null").selectExpr(
         "url",
         "coalesce(depth, 0) as depth",
@@ -44,7 +44,7 @@ def stream_results(spark: SparkSession, path: str, max_files: int = 1000) -> Dat
         .option("maxFilesPerTrigger", max_files)
         .json(path)
     )
-    return _go_zero_values(raw)
+    return _with_zero_values(raw)
 
 
 def scan_store_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
