@@ -302,8 +302,9 @@ def _opens(prefix: str, tag: str) -> str:
     )
 
 
-# Open elements are counted as opening minus closing tags before the link; <p> and
-# <b> are left open only inside <article>, where no link stands.
+# Open elements are counted as opening minus closing tags before the link. <p> is left
+# open only inside <article>, where no link stands; HTML carries a <b> left open there
+# on into the footer, at most three of them.
 WL = (
     PX
     + f""",
@@ -324,6 +325,7 @@ wl_facts AS (
     {_opens('prefix', 'nav')} > 0 AS in_nav, {_opens('prefix', 'footer')} > 0 AS in_footer,
     {_opens('prefix', 'article')} > 0 AS in_main,
     CAST(2 + {' + '.join(_opens('prefix', t) for t in ('nav', 'footer', 'article', 'div', 'ul', 'li'))}
+      + CASE WHEN {_opens('prefix', 'footer')} > 0 THEN least(3, {_opens('prefix', 'b')}) ELSE 0 END
       AS INTEGER) AS depth
   FROM wl_raw),
 wl AS (

@@ -98,6 +98,22 @@ def test_selectors(spark):
             nav.extract_by_selector(pages, bad)
 
 
+def depths(page):
+    return [len(n.ancestors) for n in dom.select(page, lambda n, _: n.tag == "a")]
+
+
+def test_open_formatting_is_carried_on():
+    # html, body and the elements written out, plus every <b> still open, three at most.
+    assert depths("<p><b>x<p><a href=1>y</a>") == [4]
+    assert depths("<article><p><b>x<p><b>y</article><footer>t <a href=1>y</a></footer>") == [5]
+    assert depths("<div>" + "<p><b>x" * 6 + "</div><a href=1>y</a>") == [5]
+    assert depths("<p><b>x</b><p><a href=1>y</a>") == [3]
+    assert depths("<b><p>x</b><a href=1>y</a>") == [3]
+    assert depths("<b><table><tr><td><i>x</td><td><a href=1>y</a></td></table>") == [6]
+    # An unclosed link is carried on as well; another link ends it.
+    assert depths("<p><a href=1>x<p>y<a href=2>z</a>") == [3, 3, 3]
+
+
 def test_raw_text_and_comments_hold_no_elements():
     page = "<!-- <a href=/c>c</a> --><script>'<a href=/s>'</script><title><a href=/t></title><noscript><a href=/n></noscript><a href=/y>y"
     found = dom.select(page, lambda n, _: n.tag == "a")

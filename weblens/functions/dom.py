@@ -1,7 +1,8 @@
 """A small tree walk over one HTML page, for questions that need ancestors.
 
-It tracks open elements, optional end tags and raw-text elements. It does not
-rebuild misnested formatting the way browsers do.
+It tracks open elements, optional end tags, raw-text elements, and formatting
+left open, which HTML carries on into the elements that follow. Content misplaced
+in tables stays where it is written.
 """
 
 import html as _html
@@ -37,6 +38,12 @@ _IMPLIED = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"thead", "tbody"}, {"table"}),
 }
+_TABLE_PARTS = set("caption col colgroup tbody td tfoot th thead tr".split())
+# Elements before which open formatting is not carried on, and those that fence it in.
+_PLAIN_START = (
+    _CLOSES_P | _TABLE_PARTS | _HEAD | _RAW | set("frame frameset param rb rp rt rtc source track".split())
+)
+_FENCE = set("applet caption marquee object td template th".split())
 _P_SCOPE = {"button", "table", "td", "th", "caption", "html"}
 
 
@@ -46,6 +53,7 @@ class Node:
     attributes: dict[str, str]
     text: list[str] | None = None
     has_img: bool = False
+    is_open: bool = False
     ancestors: list["Node"] = field(default_factory=list)
 
 
@@ -68,6 +76,7 @@ def select(page: str, wanted) -> list[Node]:
     body = None
     selected: list[Node] = []
     collecting: list[Node] = []
+    formatting: list[Node | None] = []  # None is a fence
 
     def push(node: Node, keep_open: bool = True) -> None:
         if wanted(node, stack):
@@ -77,12 +86,53 @@ def select(page: str, wanted) -> list[Node]:
             if keep_open:
                 collecting.append(node)
         if keep_open:
+            node.is_open = True
             stack.append(node)
+            if node.tag in _FENCE:
+                formatting.append(None)
 
     def drop(index: int) -> None:
         node = stack.pop(index)
+        node.is_open = False
         if node.text is not None:
             collecting.remove(node)
+        if node.tag in _FENCE:
+            while formatting and formatting.pop() is not None:
+                pass
+
+    def carry_on_formatting() -> None:
+        first = len(formatting)
+        while first and formatting[first - 1] is not None and not formatting[first - 1].is_open:
+            first -= 1
+        for index in range(first, len(formatting)):
+            again = Node(formatting[index].tag, formatting[index].attributes)
+            formatting[index] = again
+            push(again)
+
+    def open_formatting(node: Node) -> None:
+        alike = []
+        for index in range(len(formatting) - 1, -1, -1):
+            other = formatting[index]
+            if other is None:
+                break
+            if (other.tag, other.attributes) == (node.tag, node.attributes):
+                alike.append(index)
+        # At most three alike are carried on.
+        if len(alike) >= 3:
+            del formatting[alike[-1]]
+        formatting.append(node)
+
+    def close_formatting(tag: str) -> bool:
+        for index in range(len(formatting) - 1, -1, -1):
+            node = formatting[index]
+            if node is None:
+                break
+            if node.tag == tag:
+                del formatting[index]
+                if node.is_open:
+                    drop(next(i for i, n in enumerate(stack) if n is node))
+                return True
+        return False
 
     def close_until(index: int) -> None:
         while len(stack) > index:
@@ -117,6 +167,8 @@ def select(page: str, wanted) -> list[Node]:
         if text:
             if body is None and text.strip():
                 enter_body({})
+            if body is not None and formatting:
+                carry_on_formatting()
             if collecting:
                 add_text(_html.unescape(text))
         if match is None:
@@ -128,12 +180,11 @@ def select(page: str, wanted) -> list[Node]:
         if match[1]:
             if tag in ("html", "body") or (tag == "head" and body is not None):
                 continue
+            if tag in _FORMATTING and close_formatting(tag):
+                continue
             for index in range(len(stack) - 1, 0, -1):
-                if stack[index].tag == tag and tag != "body":
-                    if tag in _FORMATTING:
-                        drop(index)
-                    else:
-                        close_until(index)
+                if stack[index].tag == tag:
+                    close_until(index)
                     break
             continue
         attributes = _attributes(match[3])
@@ -159,10 +210,9 @@ def select(page: str, wanted) -> list[Node]:
         if tag in _IMPLIED:
             close_open(*_IMPLIED[tag])
         if tag == "a":
-            for index in range(len(stack) - 1, 0, -1):
-                if stack[index].tag == "a":
-                    drop(index)
-                    break
+            close_formatting("a")
+        if formatting and tag not in _PLAIN_START:
+            carry_on_formatting()
         node = Node(tag, attributes)
         if tag == "img":
             for open_node in collecting:
@@ -180,6 +230,8 @@ def select(page: str, wanted) -> list[Node]:
             position = end.end()
         else:
             push(node)
+            if tag in _FORMATTING and not foreign:
+                open_formatting(node)
     return selected
 
 
