@@ -9,7 +9,7 @@ import json
 from html.entities import html5
 
 from weblens.functions.core import Sql, each, each_indexed, keep, let, lit, variable
-from weblens.functions.urls import normalize_in, normalize_urls, split_url, trim_space
+from weblens.functions.urls import normalize_in, normalize_urls, split_base, trim_space
 
 # Marks of pages that only fill in under JavaScript.
 JS_SHELL_MARKS = [
@@ -173,17 +173,17 @@ def anchors(cleaned: Sql, base: Sql) -> Sql:
     """Array of (url, anchor_text) for every anchor that resolves, in page order, with repeats."""
     opening = lit(rf"(?is)^<a(?=[\s/>]){_ATTRS}>")
 
-    def read(token, tag, split_base):
+    def read(token, tag, page_base):
         inner = f"regexp_replace(substr({token}, length({tag}) + 1), '<[^>]*>', '')"
         text = let(inner, unescape)
         return (
-            f"named_struct('url', {let(attribute(tag, 'href'), lambda h: normalize_in(h, split_base))}, "
+            f"named_struct('url', {let(attribute(tag, 'href'), lambda h: normalize_in(h, page_base))}, "
             f"'anchor_text', {trim_space(text)})"
         )
 
     tokens = _found(cleaned, rf"<a(?=[\s/>]){_ATTRS}>.*?(?=</a[\s>]|<a[\s>]|\z)")
     return let(
-        split_url(base),
+        split_base(base),
         lambda b: keep(
             each(
                 tokens,

@@ -29,7 +29,7 @@ _BAD_ESCAPE = "%(?![0-9A-Fa-f]{2})"
 _CONTROL = r"[\x00-\x1f\x7f]"
 _AUTHORITY = (
     r"^(?:[A-Za-z0-9\-._:~!$&'()*+,;=%@]*@)?"
-    r"(?:\[[0-9A-Fa-f:.%]*\]|[^\x00-\x20:@\[\]\\^`{|}#?/%]*)(?::[0-9]*)?$"
+    r"(?:\[[0-9A-Fa-f:.%]*\]|(?:[^\x00-\x20:@\[\]\\^`{|}#?/%]|%[89A-Fa-f][0-9A-Fa-f])*)(?::[0-9]*)?$"
 )
 _PLAIN_PATH = r"^[A-Za-z0-9\-_.~!$&'()*+,;=:@\[\]%/]*$"
 _PLAIN_FRAGMENT = r"^[A-Za-z0-9\-_.~!$&'()*+,;=:@\[\]%/?]*$"
@@ -37,6 +37,10 @@ _DOT_SEGMENT = r"(?:^|/)\.\.?(?:/|$)"
 _KEEP_IN_PATH = r"A-Za-z0-9\-_.~$&+,/:;=@"
 _KEEP_IN_HOST = r"\x00-\x7f"
 _KEEP_IN_FRAGMENT = r"A-Za-z0-9\-_.~$&+,/:;=?@!()*"
+# Segments that are neither empty nor begin with a dot, in characters that stay as they are.
+_PLAIN_SEGMENTS = r"(?:/[A-Za-z0-9\-_~][A-Za-z0-9\-_.~]*+)"
+_PLAIN_ROOTED = rf"^{_PLAIN_SEGMENTS}++/?$"
+_PLAIN_ABSOLUTE = rf"^https?://[A-Za-z0-9.\-]++(?::[0-9]+)?{_PLAIN_SEGMENTS}*+/?$"
 _SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):"
 
 
@@ -212,26 +216,44 @@ def resolve_url(href: Sql, base: Sql) -> Sql:
     )
 
 
-def normalize_in(href: Sql, split_base: Sql) -> Sql:
-    """``normalize_url`` against an already split base."""
-    written = let(
+def split_base(base: Sql) -> Sql:
+    """A page URL prepared for many ``normalize_in``: its split form and its origin as text."""
+    return let(
+        split_url(base),
+        lambda b: f"""named_struct('url', {b}, 'origin',
+            if({b}.valid and {b}.scheme <> '' and not {b}.authority rlike '[^\\x00-\\x7f]',
+               concat({b}.scheme, '://', {b}.authority), null))""",
+    )
+
+
+def normalize_in(href: Sql, base: Sql) -> Sql:
+    """``normalize_url`` against a base from ``split_base``.
+
+    Plain paths and plain absolute URLs, which most links are, need no parsing:
+    nothing in them can be escaped, merged or dropped.
+    """
+    parsed = let(
         split_url(href),
         lambda r: let(
-            _resolve(r, split_base), lambda p: _with_query(f"{p}.head", f"{p}.query")
+            _resolve(r, f"{base}.url"), lambda p: _with_query(f"{p}.head", f"{p}.query")
         ),
     )
-    return f"if({is_link(href)}, {written}, null)"
+    return f"""case
+        when {base}.origin is not null and {href} rlike {lit(_PLAIN_ROOTED)}
+        then concat({base}.origin, {href})
+        when {base}.url.valid and {href} rlike {lit(_PLAIN_ABSOLUTE)} then {href}
+        when {is_link(href)} then {parsed} end"""
 
 
 def normalize_url(href: Sql, base: Sql) -> Sql:
     """Absolute, fragment-free, tracking-free form of ``href``; NULL when it is no link."""
-    return let(split_url(base), lambda b: let(href, lambda h: normalize_in(h, b)))
+    return let(split_base(base), lambda b: let(href, lambda h: normalize_in(h, b)))
 
 
 def normalize_urls(hrefs: Sql, base: Sql) -> Sql:
     """``normalize_url`` over an array; the base is split once, non-links are dropped."""
     return let(
-        split_url(base),
+        split_base(base),
         lambda b: keep(
             each(hrefs, lambda h: normalize_in(h, b)), lambda u: f"{u} is not null"
         ),

@@ -10,7 +10,7 @@ from pyspark.sql.functions import udtf
 
 from weblens.functions import dom
 from weblens.functions.core import Sql, each, each_indexed, keep, let, uniform
-from weblens.functions.urls import normalize_in, split_url
+from weblens.functions.urls import normalize_in, split_base
 from weblens.shipping import ship_package
 
 _LINK_FACTS = pa.struct(
@@ -134,7 +134,7 @@ def weighted_links(pages: DataFrame) -> DataFrame:
                 'in_footer', {f}.in_footer, 'in_main', {f}.in_main, 'depth', {f}.depth),
             'in_navigation', {f}.in_nav, 'is_visible', {_visible(f)})"""
 
-    links = let(split_url("url"), lambda b: each_indexed("facts", lambda f, i: link(f, i, b)))
+    links = let(split_base("url"), lambda b: each_indexed("facts", lambda f, i: link(f, i, b)))
     return facts.select("page_id", "url", F.expr(links).alias("links"), "error")
 
 
