@@ -1,5 +1,5 @@
 import random
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,7 +103,8 @@ def test_random_paths_match_the_standard_library(spark):
         rows.append((base, ref))
     df = spark.createDataFrame(rows, "b string, h string")
     got = df.select("b", "h", F.expr(urls.normalize_url("h", "b")).alias("u")).collect()
-    want = {(b, h): urljoin(b, h) for b, h in rows}
+    # The library leaves dot segments in absolute references; joining the path again removes them.
+    want = {(b, h): urljoin(urljoin(b, h), urlsplit(urljoin(b, h)).path) for b, h in rows}
     assert [tuple(r) for r in got if r.u != want[r.b, r.h]] == []
 
 
