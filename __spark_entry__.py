@@ -651,6 +651,21 @@ def weight_math(spark, d):
     )
 
 
+@query
+def clamp01(spark, d):
+    return weight_math(spark, d).select("event_id", "clamped")
+
+
+@query
+def bias_pow(spark, d):
+    return weight_math(spark, d).select("event_id", "biased")
+
+
+@query
+def domain_no_port(spark, d):
+    return _pages(spark, d).selectExpr("page_id", f"{urls.domain_no_port('url')} as domain")
+
+
 @query
 def extract_title(spark, d):
     return extraction.with_clean(_bodies(spark, d)).selectExpr(

@@ -422,3 +422,7 @@ ORACLES["resolve_url"] = with_(PX, normalized(anchors("px"))) + """SELECT page_i
   concat(CASE WHEN contains(link, '?') THEN split_part(link, '?', 1) ELSE link END,
     regexp_extract(href, '([?][^#]*)', 1), regexp_extract(href, '(#.*)$', 1)) AS resolved
   FROM norm"""
+
+ORACLES["clamp01"] = f"SELECT event_id, clamped FROM ({ORACLES['weight_math']})"
+ORACLES["bias_pow"] = f"SELECT event_id, biased FROM ({ORACLES['weight_math']})"
+ORACLES["domain_no_port"] = f"SELECT page_id, domain FROM ({ORACLES['url_host']})"

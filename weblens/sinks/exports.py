@@ -3,7 +3,7 @@
 Every export is a folder of part files, one per task.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from weblens.functions.core import rfc3339
 from weblens.schemas import PAGE_RESULT_COLUMNS
@@ -57,27 +57,14 @@ def sitemap_preset_rows(results: DataFrame) -> DataFrame:
 
 
 def export_sitemap(rows: DataFrame, path: str) -> int:
-    """Write SITEMAP_URL rows as XML and return how many there were."""
-    counter = _count_while_writing(rows)
+    """Write SITEMAP_URL rows as XML and return how many there were, counted while writing."""
+    counter = Observation()
     (
-        counter.frame.write.mode("overwrite")
+        rows.observe(counter, F.count(F.lit(1)).alias("n"))
+        .write.mode("overwrite")
         .format("xml")
         .option("rootTag", _URLSET)
         .option("rowTag", "url")
         .save(path)
     )
-    return counter.rows
-
-
-class _count_while_writing:
-    """Counts rows as they are written, so the export is one pass."""
-
-    def __init__(self, rows: DataFrame):
-        from pyspark.sql import Observation
-
-        self._observation = Observation()
-        self.frame = rows.observe(self._observation, F.count(F.lit(1)).alias("n"))
-
-    @property
-    def rows(self) -> int:
-        return self._observation.get["n"]
+    return counter.get["n"]
