@@ -1,0 +1,3 @@
+"""DuckDB SQL of the queries that SQL can express."""
+
+ORACLES: dict[str, str] = {}
