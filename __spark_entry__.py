@@ -27,6 +27,11 @@ from weblens.sources import pages as page_sources, results as result_sources, se
 from weblens.streaming import crawl, run, stateful  # noqa: E402
 from weblens.workspace import Workspace  # noqa: E402
 
+try:  # an optional part: the rest works without it
+    from weblens.llm.queries import ORACLES as LLM_ORACLES, QUERIES as LLM_QUERIES  # noqa: E402
+except ImportError:
+    LLM_ORACLES, LLM_QUERIES = {}, {}
+
 AGENT = "LensBot"
 SEED = inputs.SEED_SITE
 BIAS = 0.7
@@ -37,12 +42,16 @@ _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 def query(function, name: str | None = None):
     """Register a query under its function name; results are rendered in UTC."""
 
+    _queries[name or function.__name__] = _in_utc(function)
+    return function
+
+
+def _in_utc(function):
     def call(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return function(spark, sf_dir)
 
-    _queries[name or function.__name__] = call
-    return function
+    return call
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -51,11 +60,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries)
+    return _queries | {name: _in_utc(function) for name, function in LLM_QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | LLM_ORACLES
 
 
 # --- inputs ---------------------------------------------------------------
