@@ -6,8 +6,8 @@ whose target is r times its words gives every document floor(r) whole copies, fo
 certain. The rest of the target is a sample of fixed size in words: documents are
 ranked by Pareto keys, the odds of a uniform draw divided by the odds of the
 document's inclusion, and taken in that order until the next would pass the target.
-One more document of each source, the one whose size closes the remaining gap best,
-takes the last place if that brings the total nearer. Inclusion probabilities differ
+Up to two more documents of each source, each the one whose size closes the remaining
+gap best, take the last places if that brings the total nearer. Inclusion probabilities differ
 between sources, and within a source with ``weight`` (1 by default).
 
 Nothing is sorted per source: keys are cut into cells, cell totals (summed before
@@ -29,6 +29,7 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
 CELLS = 4096
+CLOSINGS = 2
 
 
 def word_count(text: Column) -> Column:
@@ -74,11 +75,10 @@ def draws(docs: DataFrame, weight: Column | None = None, seed: str = SEED) -> Da
 
 
 def plan(drawn: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, label: str = "mix") -> DataFrame:
-    """One row per source: source, source_size, target, copies, inclusion, cut, extra.
+    """One row per source: source, source_size, target, copies, inclusion, next_key, extras.
 
     ``drawn`` has source, size, draw_odds and doc_id. A row is taken ``copies`` times,
-    once more when its Pareto key is at most ``cut``, and once more when its key is
-    ``extra``.
+    and once more when its Pareto key is below ``next_key`` or one of ``extras``.
     """
     space = workspace(drawn.sparkSession, label)
     rows = space.table("drawn", drawn.select("source", "doc_id", "size", "draw_odds"))
@@ -123,16 +123,25 @@ def plan(drawn: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, l
     third = passed(third, "key", "before")
     cuts = space.table("cuts", third.select(F.col("source").alias("_source"), F.col("key").alias("next_key"), F.col("before").cast("long").alias("taken")))
 
-    # Of the rows that are left, the one whose size is nearest to the gap.
+    # Of the rows that are left, those whose sizes close the remaining gap best, one by one.
     left = keyed.join(cuts, F.col("source").eqNullSafe(F.col("_source"))).where(F.col("key") >= F.col("next_key"))
-    groups = left.groupBy("source", "key").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("taken").alias("taken"))
-    gap = F.col("rest") - F.col("taken")
-    best = groups.groupBy("source").agg(F.min(F.struct(F.abs(F.col("words") - gap).alias("off"), F.col("key").alias("key"), gap.alias("gap"))).alias("b"))
-    extra = best.where("b.off < b.gap").select(F.col("source").alias("_extra_source"), F.col("b.key").alias("extra"))
+    left = left.groupBy("source", "key").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("taken").alias("taken"))
+    extras = cuts.select(F.col("_source").alias("_s"), F.array().cast("array<double>").alias("extras"), F.lit(0).cast("long").alias("closed"))
+    for turn in range(CLOSINGS):
+        open_rows = left.join(extras, F.col("source").eqNullSafe(F.col("_s"))).where(~F.array_contains("extras", F.col("key")))
+        gap = F.col("rest") - F.col("taken") - F.col("closed")
+        off = F.struct(F.abs(F.col("words") - gap).alias("off"), F.col("key").alias("key"), gap.alias("gap"), F.col("words").alias("words"))
+        best = open_rows.groupBy("source").agg(F.min(off).alias("b")).where("b.off < b.gap").select(F.col("source").alias("_b"), "b")
+        extras = extras.join(best, F.col("_s").eqNullSafe(F.col("_b")), "left").select(
+            "_s",
+            F.when(F.col("b").isNull(), F.col("extras")).otherwise(F.concat("extras", F.array("b.key"))).alias("extras"),
+            (F.col("closed") + F.coalesce("b.words", F.lit(0))).alias("closed"),
+        )
+        extras = space.table(f"extras-{turn}", extras)
     out = table.join(cuts, F.col("source").eqNullSafe(F.col("_source")), "left").join(
-        extra, F.col("source").eqNullSafe(F.col("_extra_source")), "left"
+        extras, F.col("source").eqNullSafe(F.col("_s")), "left"
     )
-    return space.table("plan", out.select("source", "source_size", "target", "copies", "inclusion", F.col("next_key"), "extra"))
+    return space.table("plan", out.select("source", "source_size", "target", "copies", "inclusion", "next_key", "extras"))
 
 
 def _in(rows: DataFrame, found: DataFrame, by: str) -> DataFrame:
@@ -155,7 +164,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, wei
     key = pareto_key(F.col("draw_odds"), F.col("inclusion"))
     partial = (F.col("inclusion") > 0) & (F.col("inclusion") < 1)
     below = F.coalesce(partial & (F.col("next_key").isNull() | (key < F.col("next_key"))), F.lit(False))
-    extra = F.coalesce(partial & (key == F.col("extra")), F.lit(False))
+    extra = F.coalesce(partial & F.array_contains("extras", key), F.lit(False))
     times = F.least(F.col("copies") + F.when(below | extra, 1).otherwise(0), F.lit(cap)).cast("long")
     out = joined.withColumn("times", times).withColumn("taken", F.col("size") * times)
-    return out.drop("_source", "draw_odds", "copies", "inclusion", "next_key", "extra")
+    return out.drop("_source", "draw_odds", "copies", "inclusion", "next_key", "extras")

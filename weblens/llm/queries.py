@@ -3,11 +3,16 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weblens.llm import language_id, mixing, ngram_join, packing, secret_scan
+from weblens.llm import byte_network, hilbert_search, language_id, licences, mixing, ngram_join, packing, secret_scan, voronoi, warc
 from weblens.llm.common import table
 from weblens.llm.sql import ORACLES
 
 
+def op1_warc_segments(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("page_id", "url", F.col("html").cast("binary").alias("payload"))
+    return warc.round_trip(pages).drop("n_segments")
+
+
 def op2_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     found = secret_scan.scan(table(spark, d, "documents"))
     return found.select(
@@ -42,10 +47,34 @@ def op5_ngram_join(spark: SparkSession, d: str) -> DataFrame:
     return ngram_join.join(table(spark, d, "documents"))
 
 
+def op6_voronoi_join(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").where(voronoi.usable(F.col("embedding")))
+    vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), voronoi.quantize(F.col("embedding")).alias("vector"))
+    return voronoi.knn_join(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+def op7_hilbert_search(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return hilbert_search.search(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+def op8_byte_network(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    net = byte_network.fit(docs, table(spark, d, "labels"), ~held_out)
+    scored = byte_network.score(docs, net)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_swap_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_licence_scan(spark: SparkSession, d: str) -> DataFrame:
+    return licences.scan(licences.document_files(table(spark, d, "documents")))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -55,8 +84,9 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_secret_scan, op3_pareto_mixing, op4_language_id, language_id_pages, op5_ngram_join,
-        op9_swap_packing, pipeline,
+        op1_warc_segments, op2_secret_scan, op3_pareto_mixing, op4_language_id, language_id_pages,
+        op5_ngram_join, op6_voronoi_join, op7_hilbert_search, op8_byte_network, op9_swap_packing,
+        op10_licence_scan, pipeline,
     )
 }
 
