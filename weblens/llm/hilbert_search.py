@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from weblens.llm.common import workspace
 from weblens.llm.voronoi import matrix, ranked, usable
 
-CURVES = 10
+CURVES = 12
 DIMENSIONS = 8
 BITS = 7
 WINDOW = 0.07  # share of the table on either side of a query, per curve
@@ -104,10 +104,10 @@ def _search(k: int, window: int):
         out: list[tuple] = []
         if len(queries) and len(rows):
             x, ids, ranks = matrix(rows["vector"]).astype(np.float64), rows["vec_id"].to_numpy(), rows["pos"].to_numpy()
-            q = matrix(queries["vector"]).astype(np.float64)
+            q = matrix(queries["q_vector"]).astype(np.float64)
             for start in range(0, len(q), 256):
                 some = q[start : start + 256]
-                for own, at, vector, near in zip(queries["vec_id"].iloc[start:], queries["pos"].iloc[start:], some, some @ x.T):
+                for own, at, vector, near in zip(queries["q_id"].iloc[start:], queries["q_pos"].iloc[start:], some, some @ x.T):
                     allowed = np.flatnonzero((np.abs(ranks - at) <= window) & (ids != own))
                     if len(allowed) > k:
                         values = near[allowed]
@@ -155,7 +155,9 @@ def search(
     low = F.greatest(F.col("pos") - wide, F.lit(0))
     high = F.least(F.col("pos") + wide, F.lit(total - 1))
     met = F.explode(F.sequence(F.floor(low / block), F.floor(high / block)))
-    sent = placed.where("is_query").select("curve", met.alias("block"), "pos", "vec_id", "vector")
-    found = sent.groupBy("curve", "block").cogroup(data.groupBy("curve", "block")).applyInPandas(_search(k, wide), "query_id long, vec_id long, score double")
+    sent = placed.where("is_query").select(
+        F.col("curve").alias("q_curve"), met.alias("q_block"), F.col("pos").alias("q_pos"), F.col("vec_id").alias("q_id"), F.col("vector").alias("q_vector")
+    )
+    found = sent.groupBy("q_curve", "q_block").cogroup(data.groupBy("curve", "block")).applyInPandas(_search(k, wide), "query_id long, vec_id long, score double")
     # A pair found on several curves has the same score; repeated rows count once per curve.
     return ranked(found.distinct(), k)
