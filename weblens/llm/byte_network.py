@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weblens.llm.common import ship_package, slices
+from weblens.llm.common import slices, workspace
 
 CHUNK = 512  # new bytes of a chunk; it also holds WIDTH - STRIDE bytes of the next
 WIDTH = 8
@@ -147,7 +147,6 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quali
     The rows are those with the smallest hashes of their ids, up to half of each label.
     Losses are weighted so that scores follow the labels' shares among all allowed rows.
     """
-    ship_package()
     given = labels.where(allowed & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"))
     shares = {int(r["y"]): r["n"] for r in given.groupBy("y").agg(F.count("*").alias("n")).collect() if r["y"] in (0, 1)}
     chosen: dict[int, int] = {}
@@ -182,6 +181,6 @@ def score(docs: DataFrame, net: ByteNetwork) -> DataFrame:
             texts = [np.frombuffer(v.as_buffer(), np.uint8) if v.is_valid else np.zeros(0, np.uint8) for v in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(net.score(texts))], schema=schema)
 
-    ship_package()
+    workspace(docs.sparkSession, "network")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")

@@ -16,9 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows in an Arrow batch: texts are long, and a batch is held by Spark and by Python.
+BATCH_ROWS = 500
+
+
 def workspace(spark: SparkSession, label: str) -> Workspace:
-    """A fresh folder under ``spark.checkpoint.dir``; Python code travels with the job."""
+    """A fresh folder under ``spark.checkpoint.dir``; Python code travels with the job.
+
+    Arrow batches are kept small for the session, which bounds memory and changes no result.
+    """
     ship_package()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return Workspace(spark, label)
 
 
@@ -47,6 +55,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
         yield batch.slice(start)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Join small batches until about ``limit`` bytes are held."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def emit(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays(
