@@ -351,7 +351,7 @@ def visible_links(spark, d):
 
 @query
 def needs_js_render(spark, d):
-    return result_sources.needs_js_render(_px(spark, d))
+    return result_sources.needs_js_render(inputs.with_shells(_px(spark, d)))
 
 
 @query

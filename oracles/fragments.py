@@ -17,7 +17,7 @@ def unescape(text: str) -> str:
 
 
 PX = """px AS (
-  SELECT page_id, url, CASE WHEN page_id % 10 = 0 THEN '<div id="root"></div>' ELSE
+  SELECT page_id, url,
     replace(replace(html, '</head>', concat(
       '<meta name="description" content="d', page_id, '">',
       CASE WHEN page_id % 2 = 1
@@ -37,7 +37,7 @@ PX = """px AS (
     <a href="?b=2&amp;a=1&amp;gclid=z">Products</a><a href="../up">Up</a>
     <a href="/hidden" style="display:none">Hidden</a>
     <a class="btn" href="/buy"><img src="/i.png"></a>
-    <a class="is-hidden" href="/about">About us</a></footer>') END AS html
+    <a class="is-hidden" href="/about">About us</a></footer>') AS html
   FROM pages)"""
 
 CR = """cr AS (

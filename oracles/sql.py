@@ -191,7 +191,10 @@ ORACLES: dict[str, str] = {
     "visible_links": with_(WL)
     + """SELECT page_id, pos, href, round(weight, 6) AS weight FROM wl
       WHERE is_visible AND weight > 0.1""",
-    "needs_js_render": with_(PX) + f"SELECT page_id, url, ({JS}) AS needs_js_render FROM px",
+    "needs_js_render": with_(PX)
+    + f"""SELECT page_id, url, ({JS}) AS needs_js_render FROM (
+        SELECT * FROM px
+        UNION ALL SELECT -1 - page_id, url, '<div id="root"></div>' FROM px WHERE page_id % 10 = 0)""",
     "retryable": with_(FL)
     + """SELECT url, epoch_us(ts) AS ts_us, attempt, status_code, error FROM fl
       WHERE error IS NOT NULL OR status_code IN (429, 500, 502, 503, 504)""",
@@ -351,12 +354,9 @@ ORACLES: dict[str, str] = {
     "extract_structured": with_(PX, META, JSONLD, normalized(anchors("px")))
     + f"""SELECT px.page_id, {TITLE} AS title, coalesce(l.links, '') AS links,
         d.content AS description, coalesce(c.n, 0) AS meta_count,
-        CASE WHEN px.page_id % 10 = 0 THEN '' ELSE concat({ORIGIN.format('px.url')}, '/i.png') END
-          AS images,
-        CASE WHEN px.page_id % 10 = 0 THEN '' ELSE concat({ORIGIN.format('px.url')}, '/a.js') END
-          AS scripts,
-        CASE WHEN px.page_id % 10 = 0 THEN '' ELSE concat({ORIGIN.format('px.url')}, '/s.css') END
-          AS stylesheets,
+        concat({ORIGIN.format('px.url')}, '/i.png') AS images,
+        concat({ORIGIN.format('px.url')}, '/a.js') AS scripts,
+        concat({ORIGIN.format('px.url')}, '/s.css') AS stylesheets,
         coalesce(j.json_data, '') AS json_data
       FROM px
       LEFT JOIN (SELECT page_id, string_agg(link, chr(10) ORDER BY first_pos) AS links

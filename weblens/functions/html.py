@@ -6,6 +6,7 @@ read attribute by attribute. Position in the page decides the order of results.
 """
 
 import json
+import re
 from html.entities import html5
 
 from weblens.functions.core import Sql, each, each_indexed, keep, let, lit, variable
@@ -127,18 +128,21 @@ def _named(tags: Sql, name: str) -> Sql:
     return keep(tags, lambda t: f"lower(left({t}, {len(name) + 1})) = '<{name}'")
 
 
-def attribute(tag: Sql, name: str) -> Sql:
+def attributes(tag: Sql) -> Sql:
+    """Raw attributes of a start tag, in order: one search per attribute, so any number is safe."""
+    one = r"""(?s)\G[\s/]*+([^\s"'>/=][^\s>/=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)"""
+    name_end = lit(r"(?i)^<[a-z][^\s/>]*+")
+    return f"regexp_extract_all(regexp_replace({tag}, {name_end}, ''), {lit(one)}, 1)"
+
+
+def value_of(raw_attributes: Sql, name: str) -> Sql:
     """Decoded value of the first attribute ``name``; NULL if absent, empty if valueless."""
-    other = r"""[\s/]*+[^\s"'>/=][^\s>/=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
-    pattern = (
-        rf"(?is)^<[a-z][^\s/>]*+(?:{other})*?[\s/]*+"
-        rf"""({name}(?=[\s=/>])(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?)"""
-    )
+    named = lit(rf"(?is)^{re.escape(name)}(?:[\s=]|$)")
 
     def value(raw):
         after_name = f"ltrim({lit(_SPACE)}, substr({raw}, {len(name) + 1}))"
         given = f"ltrim({lit(_SPACE)}, substr({after_name}, 2))"
-        return f"if({raw} <> '', {let(given, lambda g: let(unquote(g), decode))}, null)"
+        return f"if({raw} is not null, {let(given, lambda g: let(unquote(g), decode))}, null)"
 
     def unquote(given):
         return f"if(left({given}, 1) in ('\"', '\\''), substr({given}, 2, length({given}) - 2), {given})"
@@ -146,7 +150,12 @@ def attribute(tag: Sql, name: str) -> Sql:
     def decode(plain):
         return unescape(plain, attribute=True)
 
-    return let(f"regexp_extract({tag}, {lit(pattern)}, 1)", value)
+    return let(f"get({keep(raw_attributes, lambda r: f'{r} rlike {named}')}, 0)", value)
+
+
+def attribute(tag: Sql, name: str) -> Sql:
+    """Decoded value of the tag's first attribute ``name``; NULL if absent, empty if valueless."""
+    return value_of(attributes(tag), name)
 
 
 def _attributes(tags: Sql, name: str) -> Sql:
@@ -221,9 +230,12 @@ def meta_entries(tags: Sql) -> Sql:
     """Array of (name, content) in writing order: per tag, ``name`` before ``property``."""
 
     def read(tag):
-        keys = f"array({attribute(tag, 'name')}, {attribute(tag, 'property')})"
+        return let(attributes(tag), entries)
+
+    def entries(found):
+        keys = f"array({value_of(found, 'name')}, {value_of(found, 'property')})"
         return let(
-            attribute(tag, "content"),
+            value_of(found, "content"),
             lambda content: each(
                 keys, lambda key: f"named_struct('name', {key}, 'content', {content})"
             ),

@@ -80,7 +80,9 @@ def rules_for(body: Sql, agent: str) -> Sql:
 def _rule(text: Sql) -> Sql:
     def build(pattern):
         body = f"regexp_replace({pattern}, '[$]$', '')"
-        quoted = each(f"split({body}, '[*]')", lambda s: f"concat('\\\\Q', {s}, '\\\\E')")
+        # Each special character is escaped by itself: a pattern may hold any text.
+        special = r"""'([\\\\.\\[\\]{}()^$|?+*])', '\\\\$1'"""
+        quoted = each(f"split({body}, '[*]')", lambda s: f"regexp_replace({s}, {special})")
         regex = (
             f"concat('^', array_join({quoted}, '.*'), if(endswith({pattern}, '$'), '$', ''))"
         )

@@ -51,20 +51,22 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def enriched_pages(pages: DataFrame) -> DataFrame:
-    """Pages with metadata, assets and footer links; every tenth is a JavaScript shell."""
+    """Pages with metadata, assets and footer links."""
     return pages.select(
         "page_id",
         "url",
-        F.when(F.col("page_id") % 10 == 0, '<div id="root"></div>')
-        .otherwise(
-            F.replace(
-                F.replace("html", F.lit("</head>"), F.expr(_HEAD)),
-                F.lit("</footer>"),
-                F.lit(_FOOTER),
-            )
-        )
-        .alias("html"),
+        F.replace(
+            F.replace("html", F.lit("</head>"), F.expr(_HEAD)), F.lit("</footer>"), F.lit(_FOOTER)
+        ).alias("html"),
+    )
+
+
+def with_shells(pages: DataFrame) -> DataFrame:
+    """``pages`` and, for every tenth, one more row with the body of a JavaScript shell."""
+    shells = pages.where("page_id % 10 = 0").select(
+        (-1 - F.col("page_id")).alias("page_id"), "url", F.lit('<div id="root"></div>').alias("html")
     )
+    return pages.union(shells)
 
 
 def crawl_results(pages: DataFrame) -> DataFrame:

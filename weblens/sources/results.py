@@ -15,17 +15,25 @@ def scan_results_jsonl(spark: SparkSession, path: str) -> DataFrame:
     does not exist is an empty log.
     """
     try:
-        raw = spark.read.schema(PAGE_RESULT).option("mode", "DROPMALFORMED").json(path)
+        raw = spark.read.text(path)
     except AnalysisException as failure:
         if failure.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], PAGE_RESULT)
-    return _with_zero_values(raw)
+    return _parsed(raw)
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Rows of the lines that parse as a whole, whatever columns a plan goes on to read."""
+    fields = PAGE_RESULT.simpleString()[len("struct<") : -1].replace(":", " ")
+    options = "map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_bad')"
+    parsed = lines.where("trim(value) <> ''").selectExpr(f"from_json(value, '{fields}, _bad string', {options}) as r")
+    return _with_zero_values(parsed.where("r is not null and r._bad is null").select("r.*"))
 
 
 def _with_zero_values(raw: DataFrame) -> DataFrame:
-    return raw.where("url is not null").selectExpr(
-        "url",
+    return raw.selectExpr(
+        "coalesce(url, '') as url",
         "coalesce(depth, 0) as depth",
         "coalesce(status_code, 0) as status_code",
         "coalesce(content_length, 0) as content_length",
@@ -38,13 +46,7 @@ def _with_zero_values(raw: DataFrame) -> DataFrame:
 
 def stream_results(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """The result log as a stream: a folder that gains files, each read once."""
-    raw = (
-        spark.readStream.schema(PAGE_RESULT)
-        .option("mode", "DROPMALFORMED")
-        .option("maxFilesPerTrigger", max_files)
-        .json(path)
-    )
-    return _with_zero_values(raw)
+    return _parsed(spark.readStream.option("maxFilesPerTrigger", max_files).text(path))
 
 
 def scan_store_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -65,15 +65,20 @@ def seed_crawl_index(
 
 # Strategy names in their running order.
 STRATEGIES = ["sitemap", "ct", "crawl_index"]
+SYNONYMS = {"commoncrawl": "crawl_index"}
 
 
 def seed_union(strategy: str, seeds: dict[str, DataFrame]) -> DataFrame:
     """(url, strategy, depth) seeds of the chosen strategies, each URL under the first that names it.
 
-    ``strategy`` is ``none``, ``all`` or a comma-separated list; unknown names
-    and strategies without a result are skipped.
+    ``strategy`` is ``none``, ``all`` or a comma-separated list; strategies without a
+    result are skipped, unknown names are an error. ``commoncrawl`` is another name of
+    ``crawl_index``.
     """
-    names = STRATEGIES if strategy == "all" else strategy.split(",")
+    given = [SYNONYMS.get(n.strip(), n.strip()) for n in strategy.split(",") if n.strip()]
+    if unknown := set(given) - {*STRATEGIES, "all", "none"}:
+        raise ValueError(f"unknown seed strategies: {', '.join(sorted(unknown))}")
+    names = STRATEGIES if strategy == "all" else given
     chosen = [(rank, n) for rank, n in enumerate(names) if n in seeds]
     if not chosen or strategy == "none":
         any_frame = next(iter(seeds.values()))

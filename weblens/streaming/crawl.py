@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from weblens.functions.retry import retryable
 from weblens.operators.robots import robots_decisions
-from weblens.sinks.store import save_page_batch
+from weblens.sinks.store import first_batch, save_page_batch
 from weblens.streaming.run import each_batch
 
 
@@ -58,8 +58,12 @@ def progress_report(counts: DataFrame) -> DataFrame:
 
 
 def stream_upsert_pages(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Keep the page store current: each micro-batch becomes one batch of the store."""
-    each_batch(stream, lambda frame, batch_id: save_page_batch(frame, path, batch_id), checkpoint)
+    """Keep the page store current: each micro-batch becomes one batch of the store.
+
+    Batch numbers start above those that the store held when the checkpoint was new.
+    """
+    first = first_batch(stream.sparkSession, path, checkpoint)
+    each_batch(stream, lambda frame, batch_id: save_page_batch(frame, path, first + batch_id), checkpoint)
 
 
 def stream_robots_filter(stream: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
