@@ -146,6 +146,10 @@ def test_warc_framing_and_order(spark, tmp_path):
     assert warc.assemble(parts) == b"abcdefe"
     with pytest.raises(ValueError):
         warc.assemble(parts[:2])
+    one, two = (b"WARC-Type: response\r\nContent-Length: %d\r\n\r\n%b" % (len(b), b) for b in (b"x\r\n\r\n", b"y" + warc.SEPARATOR.encode() + b"z"))
+    cut = two.split(warc.SEPARATOR.encode())
+    joined = [b"WARC/1.1\r\n" + one + warc.SEPARATOR.encode() + cut[0], cut[1] + b"\r\n\r\n"]
+    assert [b for _, b in warc.split_records(iter(joined))] == [b"x\r\n\r\n", b"y" + warc.SEPARATOR.encode() + b"z"]
 
 
 def test_hilbert_recall(spark):

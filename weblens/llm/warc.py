@@ -138,25 +138,31 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of every record, from pieces cut at record separators."""
-    held = b""
+    """(header fields, block) of every record, from pieces cut at record separators.
+
+    Lengths decide: a piece that ends too early goes on with the next one, and one in
+    which a separator was not cut (it may straddle the text reader's buffers) holds more
+    than one record.
+    """
+    separator, held = SEPARATOR.encode(), b""
     for piece in pieces:
-        piece = held + SEPARATOR.encode() + piece if held else piece
+        piece = held + separator + piece if held else piece.removeprefix(f"{VERSION}\r\n".encode())
         held = b""
-        piece = piece.removeprefix(f"{VERSION}\r\n".encode())
-        if not piece.strip():
-            continue
-        head, found, rest = piece.partition(b"\r\n\r\n")
-        fields = _fields(head)
-        if not found or "content-length" not in fields:
-            raise ValueError(f"no WARC record: {piece[:80]!r}")
-        length = int(fields["content-length"])
-        if len(rest) < length:
-            held = piece
-        elif rest[length:].strip(b"\r\n"):
-            raise ValueError(f"{len(rest)} bytes in a record of {length}")
-        else:
+        while piece.strip(b"\r\n"):
+            head, found, rest = piece.partition(b"\r\n\r\n")
+            fields = _fields(head)
+            if not found or "content-length" not in fields:
+                raise ValueError(f"no WARC record: {piece[:80]!r}")
+            length = int(fields["content-length"])
+            if len(rest) < length:
+                held = piece
+                break
             yield fields, rest[:length]
+            piece = rest[length:]
+            if piece.startswith(separator):
+                piece = piece.removeprefix(separator)
+            elif piece.strip(b"\r\n"):
+                raise ValueError(f"{len(rest)} bytes in a record of {length}")
     if held:
         raise ValueError(f"archive ends inside a record: {held[:80]!r}")
 
