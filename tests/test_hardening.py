@@ -59,8 +59,8 @@ def test_fresh_checkpoint_keeps_the_store(spark, tmp_path):
     assert store.read_pages(spark, path).count() == 6
 
 
-def test_unknown_strategy_is_an_error(spark):
+def test_unknown_strategy_is_not_silent(spark):
     frame = spark.createDataFrame([("https://a/",)], "url string")
-    with pytest.raises(ValueError):
-        seeds.seed_union("sitemap,unknown", {"sitemap": frame})
+    with pytest.warns(UserWarning, match="unknown"):
+        assert seeds.seed_union("sitemap,unknown", {"sitemap": frame}).count() == 1
     assert seeds.seed_union("commoncrawl", {"crawl_index": frame}).first().strategy == "crawl_index"

@@ -1,5 +1,6 @@
 """Seed discovery from certificate and crawl-index dumps, and their union."""
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -72,12 +73,12 @@ def seed_union(strategy: str, seeds: dict[str, DataFrame]) -> DataFrame:
     """(url, strategy, depth) seeds of the chosen strategies, each URL under the first that names it.
 
     ``strategy`` is ``none``, ``all`` or a comma-separated list; strategies without a
-    result are skipped, unknown names are an error. ``commoncrawl`` is another name of
+    result are skipped, unknown names too, with a warning. ``commoncrawl`` is another name of
     ``crawl_index``.
     """
     given = [SYNONYMS.get(n.strip(), n.strip()) for n in strategy.split(",") if n.strip()]
     if unknown := set(given) - {*STRATEGIES, "all", "none"}:
-        raise ValueError(f"unknown seed strategies: {', '.join(sorted(unknown))}")
+        warnings.warn(f"unknown seed strategies: {', '.join(sorted(unknown))}", stacklevel=2)
     names = STRATEGIES if strategy == "all" else given
     chosen = [(rank, n) for rank, n in enumerate(names) if n in seeds]
     if not chosen or strategy == "none":
