@@ -20,7 +20,7 @@ from weblens.functions import html as H, retry, urls  # noqa: E402
 from weblens.functions.core import parse_rfc3339, rfc3339  # noqa: E402
 from weblens.operators import fetchlog, frontier, navigation, robots, seen, sessions, store  # noqa: E402
 from weblens.plans import extraction, graph, inputs  # noqa: E402
-from weblens.plans.page_results import page_results  # noqa: E402
+from weblens.plans.page_results import crawled_pages, page_edges, page_results  # noqa: E402
 from weblens.schemas import PAGE_RESULT_COLUMNS  # noqa: E402
 from weblens.sinks import exports, store as store_sink  # noqa: E402
 from weblens.sources import pages as page_sources, results as result_sources, seeds, sitemaps  # noqa: E402
@@ -753,20 +753,42 @@ def extract_by_selector(spark, d):
 # --- pipeline and graph ---------------------------------------------------
 
 
-def _page_results(spark, d):
-    pages = _pages(spark, d)
-    queued = _bodies(spark, d).selectExpr(
+def _queued(bodies):
+    return bodies.selectExpr(
+        "page_id",
         "url",
         "html",
         "cast(page_id % 5 as int) as depth",
         "timestamp'2025-01-01 00:00:00' + make_dt_interval(0, 0, 0, page_id) as crawled_at",
     )
-    return _shown(page_results(queued, inputs.page_attempts(pages), _robots(spark, d), AGENT))
+
+
+def _page_results(spark, d):
+    attempts = inputs.page_attempts(_pages(spark, d))
+    return _shown(page_results(_queued(_bodies(spark, d)), attempts, _robots(spark, d), AGENT))
 
 
 query(_page_results, "page_results")
 
 
+@query
+def page_results_weighted(spark, d):
+    attempts = inputs.page_attempts(_pages(spark, d))
+    return _shown(
+        page_results(
+            _queued(_px(spark, d)), attempts, _robots(spark, d), AGENT, weighted=True, bias=BIAS, seed=42
+        )
+    )
+
+
+def _page_edges(spark, d):
+    attempts = inputs.page_attempts(_pages(spark, d))
+    return page_edges(crawled_pages(_queued(_bodies(spark, d)), attempts, _robots(spark, d), AGENT))
+
+
+query(_page_edges, "page_edges")
+
+
 def _traversal(spark, d):
     pages = _pages(spark, d)
     return graph.crawl_depth_bfs(

@@ -388,6 +388,26 @@ ORACLES: dict[str, str] = {
         {OUT_ERROR} AS error
       FROM pages p JOIN decided d ON d.page_id = p.page_id JOIN outcome o ON o.url = p.url
       LEFT JOIN counts c ON c.page_id = p.page_id""",
+    "page_results_weighted": with_(RB, FP, WL, normalized(
+        f"""SELECT page_id, url, url AS base, pos, href FROM wl WHERE is_visible AND weight > 0.1
+        AND {uniform('page_id', 'pos', '42')} < CAST({BIAS} AS DOUBLE) * weight"""),
+      f"""counts AS (SELECT page_id, count(*) AS n FROM norm
+        WHERE ends_with({HOST.format('link')}, {HOST.format('url')}) GROUP BY page_id)""")
+    + f"""SELECT p.url, CAST(p.page_id % 5 AS INTEGER) AS depth,
+        CAST(CASE WHEN d.allowed THEN o.status_code ELSE 0 END AS INTEGER) AS status_code,
+        CAST(CASE WHEN {OUT_ERROR} IS NULL THEN strlen(html) ELSE 0 END AS BIGINT)
+          AS content_length,
+        '' AS title,
+        CAST(CASE WHEN {OUT_ERROR} IS NULL THEN coalesce(c.n, 0) ELSE 0 END AS INTEGER) AS link_count,
+        {rfc3339("TIMESTAMP '2025-01-01 00:00:00' + to_seconds(p.page_id)")} AS crawled_at,
+        {OUT_ERROR} AS error
+      FROM px p JOIN decided d ON d.page_id = p.page_id JOIN outcome o ON o.url = p.url
+      LEFT JOIN counts c ON c.page_id = p.page_id""",
+    "page_edges": with_(RB, FP, page_links_of("pages"))
+    + f"""SELECT l.link AS url, CAST(p.page_id % 5 + 1 AS INTEGER) AS depth, p.url AS parent_url
+      FROM page_links l JOIN pages p ON p.page_id = l.page_id JOIN decided d ON d.page_id = p.page_id
+      JOIN outcome o ON o.url = p.url
+      WHERE {OUT_ERROR} IS NULL AND ends_with({HOST.format('l.link')}, {HOST.format('p.url')})""",
     "crawl_depth_bfs": with_(BFS, recursive=True) + "SELECT url, depth, parent_url FROM bfs",
     "discovery_edges": with_(BFS, recursive=True)
     + "SELECT parent_url, url, depth FROM bfs WHERE depth > 0",

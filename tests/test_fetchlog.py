@@ -123,3 +123,16 @@ def test_fetch_outcome(spark):
         "e": (1, 200, None, True),
         "f": (3, 404, None, False),
     }
+
+
+def test_rows_without_host_or_time_stay(spark):
+    rows = random_rows(300, seed=9, spread_seconds=1)
+    odd = [(None, "https://n/1", START, 0, 503, None), ("hot.example", "https://n/2", None, 0, 503, None)]
+    got = fetchlog.host_failure_streak(make_log(spark, rows + odd)).collect()
+    assert {r.url: (r.streak, r.backoff_ms) for r in got} == brute_streaks(rows) | {u: (None, None) for _, u, *_ in odd}
+    assert len(got) == 302
+
+
+def test_many_attempts_are_counted(spark):
+    rows = [("h", "a", START, i, 503, None) for i in [*range(70), 3]]
+    assert fetchlog.fetch_outcome(make_log(spark, rows), max_retries=69).first().attempts == 70

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from weblens.functions import dom
@@ -118,3 +120,11 @@ def test_raw_text_and_comments_hold_no_elements():
     page = "<!-- <a href=/c>c</a> --><script>'<a href=/s>'</script><title><a href=/t></title><noscript><a href=/n></noscript><a href=/y>y"
     found = dom.select(page, lambda n, _: n.tag == "a")
     assert [n.attributes["href"] for n in found] == ["/y"]
+
+
+def test_deep_pages_take_linear_time():
+    start = time.monotonic()
+    found = dom.select("<nav>" + "<div><a href=/x>t</a>" * 20_000 + "</i>" * 20_000, lambda n, _: n.tag == "a")
+    assert len(found) == 20_000 and found[-1].around.depth == 20_003
+    assert nav._marks_around(found[-1].around) == (True, False, False)
+    assert time.monotonic() - start < 10

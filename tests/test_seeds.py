@@ -94,3 +94,9 @@ def test_union_credits_the_first_strategy(spark):
     assert union("none") == {}
     counts = seeds.seed_counts(seeds.seed_union("all", parts)).collect()
     assert {r.strategy: r.added for r in counts} == {"sitemap": 2, "ct": 1, "crawl_index": 1}
+
+
+def test_locs_in_comments_do_not_count_and_text_is_trimmed_after_decoding(spark):
+    body = "<loc>&#10;https://x/pad&#9;</loc><!-- <loc>https://x/old</loc> --><loc>https://x/b</loc><!-- <loc>https://x/open</loc>"
+    rows = sitemaps.sitemap_locs(files(spark, ("s", 200, body))).collect()
+    assert [(r.pos, r["loc"]) for r in rows] == [(0, "https://x/pad"), (1, "https://x/b")]

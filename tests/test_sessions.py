@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from weblens.operators.chunks import with_chunks
 from weblens.operators.sessions import capped_sessions
 
 START = datetime(2024, 1, 1)
@@ -46,3 +47,19 @@ def test_times_before_1970(spark):
     events = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp")
     got = capped_sessions(events, 30, 100).collect()
     assert {r.event_id: r.session_no for r in got} == brute(rows, 30, 100)
+
+
+def test_events_without_user_or_time_stay_and_one_second_is_cut(spark):
+    rows = [(7, i, START) for i in range(4000)] + [(None, 5000, START), (7, 5001, None)]
+    events = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp")
+    got = {r.event_id: r.session_no for r in capped_sessions(events, 60, 7).collect()}
+    assert len(got) == len(rows) and got[5000] is None and got[5001] is None
+    assert got == brute(rows[:4000], 60, 7) | {5000: None, 5001: None}
+    # All rows share one user and one second; partitions this small would be coalesced.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        chunks = with_chunks(events, "user_id", ["ts", "event_id"], 300, "test").groupBy("chunk").count().collect()
+        assert {r.event_id: r.session_no for r in capped_sessions(events, 60, 7).collect()} == got
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in chunks) == 4000 and max(r["count"] for r in chunks) < 1500

@@ -7,7 +7,9 @@ in tables stays where it is written.
 
 import html as _html
 import re
-from dataclasses import dataclass, field
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from dataclasses import dataclass
 
 _TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))"
@@ -47,14 +49,53 @@ _FENCE = set("applet caption marquee object td template th".split())
 _P_SCOPE = {"button", "table", "td", "th", "caption", "html"}
 
 
-@dataclass
+@dataclass(slots=True)
+class Link:
+    """An open element and what was open around it; shared by all that is inside."""
+
+    node: "Node"
+    up: "Link | None"
+    depth: int
+    marks: tuple | None = None
+
+
+@dataclass(slots=True)
 class Node:
     tag: str
     attributes: dict[str, str]
     text: list[str] | None = None
     has_img: bool = False
     is_open: bool = False
-    ancestors: list["Node"] = field(default_factory=list)
+    serial: int = 0
+    link: Link | None = None
+    #: The innermost open element around this one.
+    around: Link | None = None
+
+    @property
+    def ancestors(self) -> list["Node"]:
+        """The elements around this one, outermost first."""
+        chain, link = [], self.around
+        while link is not None:
+            chain.append(link.node)
+            link = link.up
+        return chain[::-1]
+
+
+def _serial(node: Node) -> int:
+    return node.serial
+
+
+def _take(nodes: list[Node], node: Node) -> int:
+    """Remove ``node`` from a list in the order of opening; where it was."""
+    index = len(nodes) - 1
+    if nodes[index] is not node:
+        index = bisect_left(nodes, node.serial, key=_serial)
+    del nodes[index]
+    return index
+
+
+def _look(node: Node) -> tuple:
+    return node.tag, frozenset(node.attributes.items())
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -72,33 +113,52 @@ def _attributes(text: str) -> dict[str, str]:
 def select(page: str, wanted) -> list[Node]:
     """Elements for which ``wanted(element, ancestors)`` holds, in page order, with their text."""
     root = Node("html", {})
+    root.link = Link(root, None, 1)
     stack = [root]
+    open_tags: dict[str, list[Node]] = defaultdict(list)
+    pushed = 0
     body = None
     selected: list[Node] = []
     collecting: list[Node] = []
     formatting: list[Node | None] = []  # None is a fence
+    kept_tags: Counter = Counter()  # what ``formatting`` holds, by tag and by look
+    kept_looks: Counter = Counter()
 
     def push(node: Node, keep_open: bool = True) -> None:
+        nonlocal pushed
+        pushed += 1
+        node.serial, node.around = pushed, stack[-1].link
         if wanted(node, stack):
-            node.ancestors = list(stack)
             node.text = []
             selected.append(node)
             if keep_open:
                 collecting.append(node)
         if keep_open:
             node.is_open = True
+            node.link = Link(node, node.around, len(stack) + 1)
             stack.append(node)
+            open_tags[node.tag].append(node)
             if node.tag in _FENCE:
                 formatting.append(None)
 
-    def drop(index: int) -> None:
-        node = stack.pop(index)
+    def drop(node: Node) -> None:
+        for above in range(_take(stack, node), len(stack)):
+            # what comes into elements left open is no longer inside the dropped one
+            stack[above].link = Link(stack[above], stack[above - 1].link, above + 1)
         node.is_open = False
+        _take(open_tags[node.tag], node)
         if node.text is not None:
-            collecting.remove(node)
+            _take(collecting, node)
         if node.tag in _FENCE:
-            while formatting and formatting.pop() is not None:
-                pass
+            while formatting and formatting[-1] is not None:
+                forget(len(formatting) - 1)
+            if formatting:
+                formatting.pop()
+
+    def forget(index: int) -> None:
+        node = formatting.pop(index)
+        kept_tags[node.tag] -= 1
+        kept_looks[_look(node)] -= 1
 
     def carry_on_formatting() -> None:
         first = len(formatting)
@@ -110,8 +170,8 @@ def select(page: str, wanted) -> list[Node]:
             push(again)
 
     def open_formatting(node: Node) -> None:
-        alike = []
-        for index in range(len(formatting) - 1, -1, -1):
+        alike, look = [], _look(node)
+        for index in range(len(formatting) - 1, -1, -1) if kept_looks[look] >= 3 else ():
             other = formatting[index]
             if other is None:
                 break
@@ -119,32 +179,34 @@ def select(page: str, wanted) -> list[Node]:
                 alike.append(index)
         # At most three alike are carried on.
         if len(alike) >= 3:
-            del formatting[alike[-1]]
+            forget(alike[-1])
         formatting.append(node)
+        kept_tags[node.tag] += 1
+        kept_looks[look] += 1
 
     def close_formatting(tag: str) -> bool:
-        for index in range(len(formatting) - 1, -1, -1):
+        for index in range(len(formatting) - 1, -1, -1) if kept_tags[tag] else ():
             node = formatting[index]
             if node is None:
                 break
             if node.tag == tag:
-                del formatting[index]
+                forget(index)
                 if node.is_open:
-                    drop(next(i for i, n in enumerate(stack) if n is node))
+                    drop(node)
                 return True
         return False
 
-    def close_until(index: int) -> None:
-        while len(stack) > index:
-            drop(len(stack) - 1)
+    def innermost(tags: set[str]) -> int:
+        return max((open_tags[t][-1].serial for t in tags if open_tags.get(t)), default=0)
+
+    def close_from(serial: int) -> None:
+        while len(stack) > 1 and stack[-1].serial >= serial:
+            drop(stack[-1])
 
     def close_open(tags: set[str], limit: set[str]) -> None:
-        for index in range(len(stack) - 1, 0, -1):
-            if stack[index].tag in tags:
-                close_until(index)
-                return
-            if stack[index].tag in limit:
-                return
+        found = innermost(tags)
+        if found and found > innermost(limit):
+            close_from(found)
 
     def add_text(text: str) -> None:
         for node in collecting:
@@ -153,7 +215,7 @@ def select(page: str, wanted) -> list[Node]:
     def enter_body(attributes: dict[str, str]) -> None:
         nonlocal body
         if body is None:
-            close_until(1)
+            close_from(1)
             body = Node("body", attributes)
             push(body)
         else:
@@ -182,10 +244,8 @@ def select(page: str, wanted) -> list[Node]:
                 continue
             if tag in _FORMATTING and close_formatting(tag):
                 continue
-            for index in range(len(stack) - 1, 0, -1):
-                if stack[index].tag == tag:
-                    close_until(index)
-                    break
+            if open_tags.get(tag):
+                close_from(open_tags[tag][-1].serial)
             continue
         attributes = _attributes(match[3])
         if tag == "html":
@@ -203,7 +263,7 @@ def select(page: str, wanted) -> list[Node]:
             if tag in _HEAD:
                 if len(stack) == 1:
                     push(Node("head", {}))
-            elif not any(n.tag == "template" for n in stack):
+            elif not open_tags.get("template"):
                 enter_body({})
         if tag in _CLOSES_P:
             close_open({"p"}, _P_SCOPE)
@@ -217,7 +277,7 @@ def select(page: str, wanted) -> list[Node]:
         if tag == "img":
             for open_node in collecting:
                 open_node.has_img = True
-        foreign = any(n.tag in ("svg", "math") for n in stack)
+        foreign = bool(open_tags.get("svg") or open_tags.get("math"))
         if tag in _VOID or (foreign and match[3].rstrip().endswith("/")):
             push(node, keep_open=False)
         elif tag in _RAW and not foreign:
@@ -226,7 +286,7 @@ def select(page: str, wanted) -> list[Node]:
             push(node)
             if collecting:
                 add_text(_html.unescape(content) if tag in ("title", "textarea") else content)
-            drop(len(stack) - 1)
+            drop(node)
             position = end.end()
         else:
             push(node)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from weblens.functions.core import percent_of
 from weblens.functions.retry import MAX_RETRIES, backoff_ms, nominal_backoff_ms, retryable
+from weblens.operators.chunks import with_chunks, with_unplaced
 
 _ORDER = ["ts", "url", "attempt"]
 
@@ -26,8 +27,8 @@ def fetch_outcome(log: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
     """Per URL: attempts used, final status and error, success.
 
     A fetch ends at its first non-retryable answer or after ``max_retries``
-    retries. Later attempts never enter the aggregation, and attempt numbers
-    are kept as bits, so the state per URL is a few fixed-size values.
+    retries. Later attempts never enter the aggregation, so a URL's state is at
+    most ``max_retries`` + 1 attempt numbers.
     """
     answer = F.struct("status_code", "error")
     terminal = F.expr(f"not {retryable()}")
@@ -38,15 +39,13 @@ def fetch_outcome(log: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
             F.min(F.when(terminal, F.col("attempt"))).alias("ended"),
             F.min_by(answer, F.when(terminal, F.col("attempt"))).alias("terminal"),
             F.max_by(answer, "attempt").alias("last"),
-            F.bit_or(F.expr("shiftleft(1L, attempt)")).alias("seen"),
+            F.collect_set("attempt").alias("seen"),
         )
     )
     final = F.when(F.col("ended").isNotNull(), F.col("terminal")).otherwise(F.col("last"))
     return per_url.select(
         "url",
-        F.expr(
-            f"bit_count(seen & (shiftleft(1L, coalesce(ended, {max_retries}) + 1) - 1))"
-        ).alias("attempts"),
+        F.expr(f"size(filter(seen, a -> a <= coalesce(ended, {max_retries})))").alias("attempts"),
         final["status_code"].alias("status_code"),
         final["error"].alias("error"),
         (final["error"].isNull() & (final["status_code"] == 200)).alias("success"),
@@ -59,16 +58,16 @@ def host_failure_streak(log: DataFrame, chunk_seconds: int = 300) -> DataFrame:
     Status 200 resets a streak, other non-retryable answers leave it alone.
 
     A busy host is not ordered in one task: attempts are counted inside
-    (host, time chunk), one summary row per chunk is scanned per host, and each
-    chunk then takes over the streak that was open when it began.
+    (host, chunk), one summary row per chunk is scanned per host, and each
+    chunk then takes over the streak that was open when it began. A row without
+    host or time stays, with a null streak.
     """
     in_chunk = Window.partitionBy("host", "chunk").orderBy(*_ORDER).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     # Shuffled as raw columns once; both uses of ``counted`` below read that exchange.
     counted = (
-        log.withColumn("chunk", F.expr(f"unix_seconds(ts) div {chunk_seconds}"))
-        .where("host is not null and chunk is not null")
+        with_chunks(log, "host", _ORDER, chunk_seconds, "streaks")
         .repartition("host", "chunk")
         .withColumn("failed", F.expr(f"cast({retryable()} as bigint)"))
         .withColumn("ok", F.expr("failed = 0 and status_code = 200"))
@@ -88,7 +87,7 @@ def host_failure_streak(log: DataFrame, chunk_seconds: int = 300) -> DataFrame:
         )
     )
     streak = F.expr("if(fails_at_ok is null, carried + fails, fails - fails_at_ok)")
-    return (
+    placed = (
         counted.join(carried, ["host", "chunk"])
         .withColumn("streak", streak)
         .select(
@@ -99,6 +98,7 @@ def host_failure_streak(log: DataFrame, chunk_seconds: int = 300) -> DataFrame:
             ).alias("backoff_ms"),
         )
     )
+    return with_unplaced(placed, log, "host")
 
 
 def host_retry_stats(log: DataFrame, as_of: datetime | str) -> DataFrame:

@@ -15,6 +15,12 @@ def pending_urls(frontier: DataFrame, results: DataFrame) -> DataFrame:
     return frontier.join(results.select("url"), "url", "left_anti")
 
 
+def in_scope(link: str, page_host: str, allow_external: bool = False) -> str:
+    """Whether a crawl follows ``link``: a web address whose host ends with the page's."""
+    web = f"{url_scheme(link)} in ('http', 'https')"
+    return web if allow_external else f"({web} and endswith({url_host(link)}, {page_host}))"
+
+
 def crawl_scope_filter(
     links: DataFrame, allow_external: bool = False, strict_domain: bool = False
 ) -> DataFrame:
@@ -23,15 +29,13 @@ def crawl_scope_filter(
     By default the link's host must end with the page's host, with no label
     boundary; ``strict_domain`` asks for the host itself or a subdomain.
     """
-    scoped = links.where(F.expr(f"{url_scheme('link')} in ('http', 'https')"))
-    if allow_external:
-        return scoped
     link_host, page_host = url_host("link"), url_host("url")
-    if strict_domain:
+    scoped = links.where(F.expr(in_scope("link", page_host, allow_external)))
+    if strict_domain and not allow_external:
         return scoped.where(
             F.expr(f"{link_host} = {page_host} or endswith({link_host}, concat('.', {page_host}))")
         )
-    return scoped.where(F.expr(f"endswith({link_host}, {page_host})"))
+    return scoped
 
 
 def frontier_stats(frontier: DataFrame, results: DataFrame) -> DataFrame:

@@ -42,11 +42,23 @@ def _marks(node: dom.Node) -> tuple[bool, bool, bool]:
     )
 
 
+def _marks_around(link: dom.Link) -> tuple[bool, bool, bool]:
+    """Whether any element of the chain has each mark; every link is looked at once per page."""
+    chain = []
+    while link is not None and link.marks is None:
+        chain.append(link)
+        link = link.up
+    marks = link.marks if link is not None else (False, False, False)
+    for inner in reversed(chain):
+        inner.marks = marks = tuple(a or b for a, b in zip(marks, _marks(inner.node)))
+    return marks
+
+
 def _page_facts(page: str) -> list[dict]:
     """Position facts of every anchor with a non-empty href."""
     facts = []
     for node in dom.select(page, lambda n, _: n.tag == "a" and n.attributes.get("href")):
-        marks = [_marks(a) for a in node.ancestors]
+        in_nav, in_footer, in_main = _marks_around(node.around)
         facts.append(
             {
                 "href": node.attributes["href"],
@@ -54,10 +66,10 @@ def _page_facts(page: str) -> list[dict]:
                 "class": node.attributes.get("class", "").lower(),
                 "style": node.attributes.get("style", "").lower(),
                 "has_img": node.has_img,
-                "in_nav": any(m[0] for m in marks),
-                "in_footer": any(m[1] for m in marks),
-                "in_main": any(m[2] for m in marks),
-                "depth": len(marks),
+                "in_nav": in_nav,
+                "in_footer": in_footer,
+                "in_main": in_main,
+                "depth": node.around.depth,
             }
         )
     return facts
@@ -65,22 +77,22 @@ def _page_facts(page: str) -> list[dict]:
 
 def _scan(batches):
     for batch in batches:
+        others = [n for n in batch.schema.names if n != "html"]
         facts, errors = [], []
-        for page in batch.column("html").to_pylist():
+        for page in batch.column("html"):
             try:
-                facts.append(_page_facts(page or ""))
+                facts.append(_page_facts(page.as_py() or ""))
                 errors.append(None)
             except Exception as failure:  # one bad page must not fail the job
                 facts.append([])
                 errors.append(f"{type(failure).__name__}: {failure}")
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("page_id"),
-                batch.column("url"),
+                *(batch.column(n) for n in others),
                 pa.array(facts, pa.list_(_LINK_FACTS)),
                 pa.array(errors, pa.string()),
             ],
-            names=["page_id", "url", "facts", "error"],
+            names=[*others, "facts", "error"],
         )
 
 
@@ -115,16 +127,16 @@ def _visible(f: Sql) -> Sql:
     )
 
 
-def weighted_links(pages: DataFrame) -> DataFrame:
+def weighted_links(pages: DataFrame, keep_columns: tuple[str, ...] = ()) -> DataFrame:
     """Per page an array of links with weight, position and visibility, in page order.
 
-    Only the tree walk runs in Python, on Arrow batches, and hands over raw
+    ``error`` tells of a page that could not be walked. Only the tree walk runs in Python, on Arrow batches, and hands over raw
     facts; weights, flags and URL normalisation are Catalyst expressions.
     """
     ship_package()
-    facts = pages.select("page_id", "url", "html").mapInArrow(
-        _scan, f"page_id long, url string, facts {_FACTS_DDL}, error string"
-    )
+    given = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", *keep_columns, "html")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+    facts = given.mapInArrow(_scan, f"{kept}, facts {_FACTS_DDL}, error string")
 
     def link(f, pos, base):
         return f"""named_struct(
@@ -135,7 +147,7 @@ def weighted_links(pages: DataFrame) -> DataFrame:
             'in_navigation', {f}.in_nav, 'is_visible', {_visible(f)})"""
 
     links = let(split_base("url"), lambda b: each_indexed("facts", lambda f, i: link(f, i, b)))
-    return facts.select("page_id", "url", F.expr(links).alias("links"), "error")
+    return facts.select("page_id", "url", *keep_columns, F.expr(links).alias("links"), "error")
 
 
 def explode_links(weighted: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from bisect import bisect_right
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from weblens.operators.chunks import with_chunks, with_unplaced
 from weblens.shipping import ship_package
 
 MAX_AGE_SECONDS = 1800
@@ -27,16 +28,15 @@ def capped_sessions(
     begin at some event b and at every ``max_events`` after it. A chunk is
     therefore described by at most ``max_events`` first and last event times,
     and only these descriptions are walked per user. A hot user's events stay
-    spread over their chunks.
+    spread over their chunks, which are bounded in rows too. An event without
+    user or time stays, with a null session.
     """
     ship_package()
-    width_us = min(chunk_seconds, max_age_seconds) * 1_000_000
-    chunk = F.expr(f"(unix_micros(ts) - pmod(unix_micros(ts), {width_us})) div {width_us}")
+    seconds = min(chunk_seconds, max_age_seconds)
     in_chunk = Window.partitionBy("user_id", "chunk").orderBy("ts", "event_id")
     # One exchange serves both uses of ``numbered`` below.
     numbered = (
-        events.withColumn("chunk", chunk)
-        .where("user_id is not null and chunk is not null")
+        with_chunks(events, "user_id", ["ts", "event_id"], seconds, "sessions")
         .repartition("user_id", "chunk")
         .withColumn("n", F.row_number().over(in_chunk) - 1)
         .withColumn("size", F.count("*").over(Window.partitionBy("user_id", "chunk")))
@@ -57,10 +57,10 @@ def capped_sessions(
         )
     )
     later = F.expr(f"if(n < first_start, 0L, 1 + (n - first_start) div {max_events})")
-    return (
-        numbered.join(entry, ["user_id", "chunk"])
-        .select(*events.columns, (F.col("open_no") + later).alias("session_no"))
+    placed = numbered.join(entry, ["user_id", "chunk"]).select(
+        *events.columns, (F.col("open_no") + later).alias("session_no")
     )
+    return with_unplaced(placed, events, "user_id")
 
 
 def _entry_states(max_age_us: int, max_events: int):

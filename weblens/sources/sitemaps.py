@@ -13,9 +13,10 @@ WELL_KNOWN = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml"]
 
 
 def sitemap_locs(sitemaps: DataFrame) -> DataFrame:
-    """Every ``<loc>`` of every sitemap, trimmed, in document order, repeats included."""
-    found = f"regexp_extract_all(body, {lit(r'(?is)<loc(?:\s[^>]*)?>(.*?)</loc\s*>')}, 1)"
-    decoded = each(found, lambda t: let(trim_space(t), unescape))
+    """Every ``<loc>`` outside comments, decoded, then trimmed, in document order, repeats included."""
+    text = f"regexp_replace(body, {lit(r'(?s)<!--.*?(?:-->|\z)')}, '')"
+    found = f"regexp_extract_all({text}, {lit(r'(?is)<loc(?:\s[^>]*)?>(.*?)</loc\s*>')}, 1)"
+    decoded = each(found, lambda t: let(unescape(t), trim_space))
     return sitemaps.selectExpr("sitemap_url", f"posexplode({decoded}) as (pos, loc)")
 
 
