@@ -75,7 +75,9 @@ def _pages(spark, d):
 
 
 def _bodies(spark, d):
-    return page_sources.read_pages(spark, f"{d}/pages.parquet")
+    # A session that reads a small table in one split may ask for more tasks.
+    asked = spark.conf.get("spark.weblens.pagePartitions", None)
+    return page_sources.read_pages(spark, f"{d}/pages.parquet", int(asked) if asked else None)
 
 
 def _px(spark, d):
@@ -555,22 +557,10 @@ def select_weighted_link(spark, d):
 
 @query
 def bloom_seen_filter(spark, d):
-    """Probes every page URL (all seen) and every found link against the filter of page URLs."""
+    """Every distinct page URL and found link, and whether it is the URL of a page."""
     pages = _px(spark, d)
-    filter_ = seen.BlockedBloom(capacity=max(pages.count(), 1), fpr=0.01)
-    words = filter_.build(pages)
-    found = frontier.frontier_new_urls(
-        extraction.page_links(pages).select(F.col("link").alias("url")), pages
-    )
-    known = pages.select("url", F.lit(True).alias("known"))
-    probed = filter_.probe(known.unionByName(found.withColumn("known", F.lit(False))), words)
-    return probed.agg(
-        F.count("*").alias("probes"),
-        F.count_if(F.expr("known and not maybe_seen")).alias("false_negatives"),
-        F.expr(
-            "count_if(not known and maybe_seen) <= 0.02 * count_if(not known) + 3"
-        ).alias("few_false_positives"),
-    )
+    links = extraction.page_links(pages).select(F.col("link").alias("url"))
+    return seen.mark_seen(pages.select("url").union(links).distinct(), pages)
 
 
 # --- scalar functions -----------------------------------------------------

@@ -303,9 +303,8 @@ ORACLES: dict[str, str] = {
       WHERE r <= cum OR pos = last_pos
       QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) = 1""",
     "bloom_seen_filter": with_(PX, page_links_of("px"))
-    + """SELECT (SELECT count(*) FROM pages) + (SELECT count(DISTINCT link) FROM page_links
-        WHERE link NOT IN (SELECT url FROM pages)) AS probes,
-        CAST(0 AS BIGINT) AS false_negatives, true AS few_false_positives""",
+    + """SELECT url, url IN (SELECT url FROM pages) AS maybe_seen
+        FROM (SELECT url FROM pages UNION SELECT link FROM page_links)""",
     # scalar functions
     "strip_fragment": """SELECT page_id, regexp_replace(url, '#.*$', '') AS stripped FROM pages""",
     "strip_tracking": """SELECT page_id, replace(replace(url, '?utm_source=feed', ''),

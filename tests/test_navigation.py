@@ -1,6 +1,8 @@
 import time
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weblens.functions import dom
 from weblens.operators import navigation as nav
@@ -128,3 +130,18 @@ def test_deep_pages_take_linear_time():
     assert len(found) == 20_000 and found[-1].around.depth == 20_003
     assert nav._marks_around(found[-1].around) == (True, False, False)
     assert time.monotonic() - start < 10
+
+
+def test_failed_page_is_no_page_without_links(spark, monkeypatch, weighted):
+    def fails(page):
+        raise ValueError(page)
+
+    monkeypatch.setattr(nav, "_page_facts", fails)
+    batch = pa.RecordBatch.from_pydict({"page_id": [1], "html": ["x"]})
+    out = list(nav._scan([batch]))[0].to_pylist()
+    assert out == [{"page_id": 1, "facts": None, "error": "ValueError: x"}]
+    broken = weighted.limit(1).withColumn("links", F.when(F.col("page_id") < 0, F.col("links")))
+    stats = nav.link_stats(broken).drop("page_id").first()
+    assert set(stats) == {None}
+    assert nav.top_links(broken, 2).first().links is None
+    assert nav.select_weighted_link(broken, 1.0).count() == 0

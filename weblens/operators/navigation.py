@@ -84,7 +84,7 @@ def _scan(batches):
                 facts.append(_page_facts(page.as_py() or ""))
                 errors.append(None)
             except Exception as failure:  # one bad page must not fail the job
-                facts.append([])
+                facts.append(None)
                 errors.append(f"{type(failure).__name__}: {failure}")
         yield pa.RecordBatch.from_arrays(
             [
@@ -130,8 +130,9 @@ def _visible(f: Sql) -> Sql:
 def weighted_links(pages: DataFrame, keep_columns: tuple[str, ...] = ()) -> DataFrame:
     """Per page an array of links with weight, position and visibility, in page order.
 
-    ``error`` tells of a page that could not be walked. Only the tree walk runs in Python, on Arrow batches, and hands over raw
-    facts; weights, flags and URL normalisation are Catalyst expressions.
+    ``error`` tells of a page that could not be walked; its ``links`` are null, not empty. Only
+    the tree walk runs in Python, on Arrow batches, and hands over raw facts; weights, flags and
+    URL normalisation are Catalyst expressions.
     """
     ship_package()
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", *keep_columns, "html")
@@ -171,7 +172,10 @@ def follow_link_sample(weighted: DataFrame, bias: float, seed: int = 0) -> DataF
 
 
 def link_stats(weighted: DataFrame) -> DataFrame:
-    """Link counts and weights per page; a page without links has average 0, maximum 0, minimum 1."""
+    """Link counts and weights per page; a page without links has average 0, maximum 0, minimum 1.
+
+    All figures of a page that could not be walked are null.
+    """
     weights = each("links", lambda l: f"{l}.weight")
     total = f"aggregate({weights}, 0D, (a, w) -> a + w)"
     return weighted.selectExpr(
@@ -181,9 +185,9 @@ def link_stats(weighted: DataFrame) -> DataFrame:
         f"cast(size({keep('links', lambda l: f'{l}.in_navigation')}) as bigint) as navigation_links",
         f"""cast(size({keep('links', lambda l: f'{l}.position.is_above_fold')}) as bigint)
             as above_fold_links""",
-        f"if(size(links) > 0, {total} / size(links), 0D) as avg_weight",
-        f"greatest(0D, array_max({weights})) as max_weight",
-        f"least(1D, array_min({weights})) as min_weight",
+        f"if(links is null, null, if(size(links) > 0, {total} / size(links), 0D)) as avg_weight",
+        f"if(links is null, null, greatest(0D, array_max({weights}))) as max_weight",
+        f"if(links is null, null, least(1D, array_min({weights}))) as min_weight",
     )
 
 

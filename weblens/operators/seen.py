@@ -1,62 +1,13 @@
-"""Approximate seen-set: a Bloom filter kept as a table of 512-bit blocks.
-
-A URL hashes to one block and sets its bits there, so a probe is a single
-equi join per URL, and building combines bits before the shuffle. Use it only
-when the seen set itself is too large for the exact anti join.
-"""
-
-import math
+"""Seen-set probes, exact: no URL is wrongly held to be seen."""
 
 from pyspark.sql import DataFrame, functions as F
 
-_WORDS = 8
-_BITS = 64 * _WORDS
-
-
-class BlockedBloom:
-    """Filter layout for ``capacity`` URLs at false-positive rate ``fpr``."""
-
-    def __init__(self, capacity: int = 100_000_000, fpr: float = 0.01):
-        bits = -capacity * math.log(fpr) / math.log(2) ** 2
-        # Blocks fill unevenly; a third more bits makes up for it.
-        self.blocks = max(1, math.ceil(bits * 4 / 3 / _BITS))
-        self.hashes = max(1, round(math.log2(1 / fpr)))
-
-    def _addressed(self, urls: DataFrame) -> DataFrame:
-        """Adds ``block`` and the eight 64-bit masks of the URL's bits."""
-        # Nine bits per position, cut from two independent hashes.
-        positions = ", ".join(
-            f"cast(shiftright(xxhash64(url, {1 + i // 7}), {9 * (i % 7)}) & {_BITS - 1} as int)"
-            for i in range(self.hashes)
-        )
-        masked = urls.selectExpr(
-            "*",
-            f"pmod(xxhash64(url), {self.blocks}L) as block",
-            f"array({positions}) as positions",
-        )
-        for w in range(_WORDS):
-            masked = masked.withColumn(
-                f"m{w}",
-                F.expr(
-                    f"""aggregate(positions, 0L, (mask, p) ->
-                    if(p div 64 = {w}, mask | shiftleft(1L, p % 64), mask))"""
-                ),
-            )
-        return masked.drop("positions")
 
-    def build(self, seen: DataFrame) -> DataFrame:
-        """Filter table: block number and eight 64-bit words."""
-        return (
-            self._addressed(seen.select("url"))
-            .groupBy("block")
-            .agg(*[F.bit_or(f"m{w}").alias(f"w{w}") for w in range(_WORDS)])
-        )
+def mark_seen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
+    """Candidates with ``maybe_seen``: whether the URL is in ``seen``; false for a null URL.
 
-    def probe(self, candidates: DataFrame, words: DataFrame) -> DataFrame:
-        """Candidates with ``maybe_seen``: never false for a seen URL, rarely true for a new one."""
-        hit = F.expr(" and ".join(f"(w{w} & m{w}) = m{w}" for w in range(_WORDS)))
-        return (
-            self._addressed(candidates)
-            .join(words, "block", "left")
-            .select(*candidates.columns, F.coalesce(hit, F.lit(False)).alias("maybe_seen"))
-        )
+    Seen URLs are reduced before the shuffle, and every candidate row stays, repeats included.
+    """
+    known = seen.select(F.col("url").alias("_seen")).where("_seen is not null").distinct()
+    marked = candidates.join(known, F.col("url") == F.col("_seen"), "left")
+    return marked.select(*candidates.columns, F.col("_seen").isNotNull().alias("maybe_seen"))

@@ -3,15 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Page table for extraction.
+def read_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Page table for extraction, read as it lies.
 
-    Parsing HTML is work for every core. A table in fewer splits than there are
-    cores (one file with one row group, say) is spread over them first; any
-    larger one is read as it lies, with no shuffle.
+    ``partitions`` spreads a table of few row groups over that many tasks, at
+    the cost of a shuffle of the bodies.
     """
     pages = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() < cores:
-        return pages.repartition(cores)
-    return pages
+    return pages if partitions is None else pages.repartition(partitions)
