@@ -307,8 +307,8 @@ ORACLES: dict[str, str] = {
         FROM (SELECT url FROM pages UNION SELECT link FROM page_links)""",
     # scalar functions
     "strip_fragment": """SELECT page_id, regexp_replace(url, '#.*$', '') AS stripped FROM pages""",
-    "strip_tracking": """SELECT page_id, replace(replace(url, '?utm_source=feed', ''),
-      '?page=2&ref=x', '?page=2&ref=x') AS stripped FROM pages""",
+    "strip_tracking": with_(normalized("SELECT page_id, url AS href, url AS base FROM pages"))
+    + "SELECT page_id, concat(link, regexp_extract(href, '#.*$')) AS stripped FROM norm",
     "normalize_url": with_(PX, normalized(anchors("px")))
     + "SELECT page_id, CAST(pos AS INTEGER) AS pos, link FROM norm",
     "url_host": f"""SELECT page_id, {HOST.format('url')} AS host,
