@@ -1,21 +1,26 @@
 """Secrets in documents: three base patterns and a battery of randomness tests.
 
-Base patterns give spans by rule. Every other run of 20 or more key characters is
-a candidate: its encoding is inferred, and three tests ask whether its characters
-could be uniform draws from that alphabet (chi-squared frequencies, runs about the
-median, lag-one serial correlation). A candidate that fails any of them is no
+Base patterns give spans by rule. Of every run of 20 or more key characters, what
+the base spans leave is a candidate, and so are its parts: those between separators
+(/ _ - +, by each choice of them, as keys may hold some themselves) and the stretches
+of pieces between words. A candidate's encoding is inferred, and three tests ask whether
+its characters could be uniform draws from that alphabet (chi-squared frequencies, runs
+about the median, lag-one serial correlation). A candidate that fails any of them is no
 secret. For the rest the null hypothesis is ordinary text: a chi-squared value too
 small for text's letter frequencies and too many changes of character class give a
-p-value, and Benjamini-Hochberg within each length class decides over the whole
-corpus, so that short candidates, of which there are many, need stronger evidence.
+p-value, and Benjamini-Hochberg within each length class decides over all candidates of
+the corpus, so that short ones, of which there are many, need stronger evidence.
+Accepted candidates that overlap are one span.
 
 A null text counts as empty. Rows are independent: repeated rows give repeated
 results, an empty table an empty one, and other columns are ignored.
 """
 
 import hashlib
+import itertools
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +35,17 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # 16 characters or more in all
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+MIN_LENGTH = 20
+SEPARATORS = "/_-+"
+#: For each choice of separators the parts between them.
+PARTS = {
+    chosen: re.compile(f"[^{re.escape(''.join(chosen))}]{{{MIN_LENGTH},}}")
+    for n in range(1, len(SEPARATORS) + 1)
+    for chosen in itertools.combinations(SEPARATORS, n)
+}
+PIECE = re.compile(r"[^/_+-]+")
+#: Words and numbers as in paths and names; random pieces of three characters or more are rarely so.
+WORDLIKE = re.compile(r"(?:[A-Z]?[a-z]{3,}|[A-Z]{3,})+[0-9]{0,3}|[0-9]{2,8}|v[0-9]{1,3}")
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE = 8
 
@@ -87,6 +103,57 @@ def digest(spans: list[tuple[int, int, int]]) -> str:
     return hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
 
 
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans (start, end) with those that overlap made one, by start."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
+def _left(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the united spans ``taken`` leave of a run."""
+    at = max(bisect_right(taken, (start, end)) - 1, 0)
+    for s, e in itertools.islice(taken, at, None):
+        if s >= end:
+            break
+        if start < s:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
+
+
+def parts(run: str) -> set[tuple[int, int]]:
+    """(start, end) of a run without padding and of all its parts of 20 characters or more."""
+    out = {(0, len(run))}
+    held = set(SEPARATORS).intersection(run)
+    for chosen, pattern in PARTS.items():
+        if held.issuperset(chosen):
+            out.update(m.span() for m in pattern.finditer(run))
+    first, last = 0, 0
+    for m in PIECE.finditer(run) if held else ():
+        if WORDLIKE.fullmatch(m.group()):
+            out.add((first, last))
+            first, last = m.end(), m.end()
+        else:
+            first, last = (m.start() if first == last else first), m.end()
+    return {(a, b) for a, b in out | {(first, last)} if b - a >= MIN_LENGTH}
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of every candidate outside the base spans, with its padding."""
+    out, taken = [], united([(s, e) for s, _, e in spans])
+    for m in CANDIDATE.finditer(text):
+        for start, end in _left(*m.span(), taken):
+            run = text[start:end].rstrip("=")
+            out += [(start + a, end if b == len(run) else start + b) for a, b in sorted(parts(run))]
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
@@ -94,11 +161,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc_id, text_key, value in zip(part["doc_id"].to_pylist(), part["text_key"].to_pylist(), part["text"]):
                 text = value.as_py() or ""
                 spans = base_spans(text)
-                found = [
-                    {"start": m.start(), "end": m.end(), "token": m.group()}
-                    for m in CANDIDATE.finditer(text)
-                    if not any(s < m.end() and m.start() < e for s, _, e in spans)
-                ]
+                found = [{"start": s, "end": e, "token": text[s:e]} for s, e in candidates(text, spans)]
                 counts = [sum(k == kind for _, k, _ in spans) for kind in range(3)]
                 base = [{"start": s, "kind": k, "end": e} for s, k, e in spans]
                 rows.append((doc_id, text_key, *counts, digest(spans), base, found))
@@ -246,8 +309,8 @@ def thresholds(counts: dict[int, dict[int, int]], q: float) -> dict[int, int]:
 def scan(docs: DataFrame, q: float = 0.001) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text).
 
-    Columns: doc_id, text_key, n_assign, n_access, n_hex, base_sha256, n_random,
-    all_spans (array of start, kind, end by start, then kind). Two passes over
+    Columns: doc_id, text_key, n_assign, n_access, n_hex, base_sha256, all_spans (array
+    of start, kind, end by start, then kind), n_random. Three passes over
     narrow rows follow one pass over the texts; the driver sees 26 letter counts
     and the counts of at most 3,000 bins for each of four length classes.
     """
@@ -268,25 +331,23 @@ def scan(docs: DataFrame, q: float = 0.001) -> DataFrame:
     counts: dict[int, dict[int, int]] = {}
     for r in tested.select(F.explode("tested").alias("t")).groupBy("t.stratum", "t.bin").count().collect():
         counts.setdefault(r["stratum"], {})[r["bin"]] = r["count"]
-    return tested.select(
-        "doc_id", "text_key", "n_assign", "n_access", "n_hex", "base_sha256",
-        F.array_sort(F.concat("base", _random_spans(counts, q))).alias("all_spans"),
-    ).withColumn("n_random", F.size(F.filter("all_spans", lambda s: s["kind"] == 3)).cast("long"))
-
-
-def _random_spans(counts: dict[int, dict[int, int]], q: float) -> Column:
     least = thresholds(counts, q)
+    out = tested.mapInArrow(lambda it: _decided(it, least), f"doc_id long, text_key long, n_assign long, n_access long, n_hex long, base_sha256 string, all_spans {SPAN}, n_random long")
+    return out.withColumn("all_spans", F.array_sort("all_spans"))
 
-    def accepted(t: Column) -> Column:
-        out = F.lit(False)
-        for stratum, b in least.items():
-            out = out | ((t["stratum"] == stratum) & (t["bin"] >= b))
-        return out
 
-    return F.transform(
-        F.filter("tested", accepted),
-        lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")),
-    )
+def _decided(batches: Iterator[pa.RecordBatch], least: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """The base spans and the united spans of accepted candidates."""
+    kind = TESTED.field("base").type
+    for batch in batches:
+        spans, counts = [], []
+        for base, tested in zip(batch["base"].to_pylist(), batch["tested"].to_pylist()):
+            found = united([(t["start"], t["end"]) for t in tested if t["bin"] >= least[t["stratum"]]])
+            spans.append(base + [{"start": s, "kind": 3, "end": e} for s, e in found])
+            counts.append(len(found))
+        kept = [batch[name] for name in TESTED.names[:-2]]
+        names = [*TESTED.names[:-2], "all_spans", "n_random"]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, kind), pa.array(counts, pa.int64())], names=names)
 
 
 def shown(spans: Column) -> Column:
