@@ -3,7 +3,7 @@
 import random
 import string
 
-from weblens.llm import secret_scan
+from weblens.llm import licences, secret_scan
 
 BASE62 = string.ascii_letters + string.digits
 
@@ -37,3 +37,49 @@ def test_parts_of_runs():
     text = "id " + "0" * 32 + "/" + "Zz9" * 9 + "=="
     assert secret_scan.candidates(text, secret_scan.base_spans(text)) == [(35, 65), (36, 65)]
     assert sum(b - a for a, b in secret_scan.parts("a_b/" * 50_000)) <= 16 * 200_000
+
+
+FSF = """ * This {0} is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU {1} as published by
+ * the Free Software Foundation, either version {2} of the License, or
+ * (at your option) any later version."""
+BSD = """# Copyright (c) 2020, Somebody
+# All rights reserved.
+#
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+# * Redistributions of source code must retain the above copyright notice.
+# * Redistributions in binary form must reproduce the above copyright notice.
+"""
+HEADERS = [
+    ("GPL-3.0", "/*\n * x.c - frobs\n *\n" + FSF.format("program", "General Public License", 3) + "\n */\nint x;"),
+    ("GPL-2.0", "/*\n" + FSF.format("program", "General Public License", 2) + "\n */\nint x;"),
+    ("LGPL-2.1", "/*\n" + FSF.format("library", "Lesser General Public License", 2.1) + "\n */\nint x;"),
+    ("AGPL-3.0", FSF.format("program", "Affero General Public License", 3).replace(" * ", "// ") + "\nint x;"),
+    ("MPL-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\nint x;"),
+    ("MIT", "// SPDX-License-Identifier: MIT\nint x;"),
+    ("GPL-2.0", "# SPDX-License-Identifier: GPL-2.0-or-later\nx = 1"),
+    ("Zlib", "/* SPDX-License-Identifier: Zlib */\nint x;"),
+    ("MIT OR Apache-2.0", "// SPDX-License-Identifier: (MIT OR Apache-2.0)\nint x;"),
+    ("ISC", "/*\n * Copyright (c) 2020 Somebody\n *\n * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted, provided that the above\n * copyright notice and this permission notice appear in all copies.\n */\nint x;"),
+    ("MIT", "// Permission is hereby granted, free of charge, to any person obtaining\n// a copy of this software and associated documentation files (the\n// \"Software\"), to deal in the Software without restriction, including\n// without limitation the rights to use, copy, modify, merge, publish,\n// distribute, sublicense, and/or sell copies of the Software.\nint x;"),
+    ("Apache-2.0", '# Copyright 2020 Somebody\n#\n# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\nx = 1'),
+    ("BSD-2-Clause", BSD + "x = 1"),
+    ("BSD-3-Clause", BSD + "# * Neither the name of the holder may be used to endorse\n# or promote products derived from this software.\nx = 1"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL", "This work is licensed under the GNU General Public License."),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution\n3.0 Unported License."),
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed."),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("CC-BY", "This work is licensed under the Creative Commons Attribution 9.0 International License."),
+    ("Proprietary", "Copyright 2020 Somebody.\nAll rights reserved."),
+]
+
+
+def test_wrapped_headers(spark):
+    rows = [(n, f"r{n}", "src/x", text) for n, (_, text) in enumerate(HEADERS)]
+    notices = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "All rights reserved."]
+    more = [(1000 + n, "q", f"{n}/x", f"{n}\n{text}") for n, text in enumerate(notices * 50)]
+    for corpus in (rows, rows + more):
+        out = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame(corpus, "doc_id long, repo string, path string, text string")).collect()}
+        assert [(name, n) for n, (name, _) in enumerate(HEADERS) if out[n] != name] == [], out
