@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weblens.llm import byte_network, hilbert_search, language_id, licences, mixing, ngram_join, packing, secret_scan, voronoi, warc
+from weblens.llm import (
+    byte_network, hilbert_search, language_id, licences, lookup_clustering, mixing, ngram_join, packing, secret_scan, voronoi, warc,
+)
 from weblens.llm.common import table
 from weblens.llm.sql import ORACLES
 
@@ -75,6 +77,11 @@ def op10_licence_scan(spark: SparkSession, d: str) -> DataFrame:
     return licences.scan(licences.document_files(table(spark, d, "documents")))
 
 
+def op11_lookup_clustering(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").where(voronoi.usable(F.col("embedding")) & (F.size("embedding") == 64))
+    return lookup_clustering.cluster(rows.select("vec_id", voronoi.quantize(F.col("embedding"), 64).alias("vector")))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +93,7 @@ QUERIES = {
     for f in (
         op1_warc_segments, op2_secret_scan, op3_pareto_mixing, op4_language_id, language_id_pages,
         op5_ngram_join, op6_voronoi_join, op7_hilbert_search, op8_byte_network, op9_swap_packing,
-        op10_licence_scan, pipeline,
+        op10_licence_scan, op11_lookup_clustering, pipeline,
     )
 }
 

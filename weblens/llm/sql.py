@@ -121,9 +121,42 @@ LEFT JOIN ex ON x.source IS NOT DISTINCT FROM ex.source AND inclusion > 0 AND in
 """
 
 
+def _clustering() -> str:
+    """Three rounds written out, with plain distances instead of tables."""
+    parts = ["""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY key, q) - 1)::INTEGER AS c, q
+  FROM (SELECT q, sha256('1:' || vec_id) AS key FROM v ORDER BY key NULLS LAST, q LIMIT 16)
+)"""]
+    for n in range(4):
+        parts.append(f"""
+, a{n} AS MATERIALIZED (
+  SELECT i, min(struct_pack(d := list_sum(list_transform(range(1, 65), lambda j: (v.q[j] - c{n}.q[j]) * (v.q[j] - c{n}.q[j])))::BIGINT, c := c)) AS b
+  FROM v CROSS JOIN c{n} GROUP BY i
+)""")
+        if n < 3:
+            parts.append(f"""
+, m{n} AS (
+  SELECT c, list(mean ORDER BY j) AS q FROM (
+    SELECT a{n}.b.c AS c, j, floor(sum(x)::DOUBLE / count(*))::BIGINT AS mean
+    FROM a{n} JOIN (SELECT i, unnest(q) AS x, generate_subscripts(q, 1) AS j FROM v) USING (i) GROUP BY ALL
+  ) GROUP BY c
+), c{n + 1} AS MATERIALIZED (SELECT c, coalesce(m{n}.q, c{n}.q) AS q FROM c{n} LEFT JOIN m{n} USING (c))""")
+    return "".join(parts) + """
+SELECT vec_id, a3.b.c AS cluster, a3.b.d AS distance,
+  (sum(a3.b.d) OVER (PARTITION BY a3.b.c))::BIGINT AS cluster_inertia, (sum(a3.b.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c3.q, ',')) AS centroid_sha256
+FROM v JOIN a3 USING (i) JOIN c3 ON c3.c = a3.b.c
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_warc_segments": _WARC,
     "op3_pareto_mixing": _mixing(),
     "op5_ngram_join": _NGRAM,
     "op6_voronoi_join": _VORONOI,
+    "op11_lookup_clustering": _clustering(),
 }
