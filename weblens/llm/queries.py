@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weblens.llm import (
-    byte_network, hilbert_search, language_id, licences, lookup_clustering, mixing, ngram_join, packing, secret_scan, voronoi, warc,
+    byte_network, coordinate_mining, hilbert_search, language_id, licences, lookup_clustering, mixing, ngram_join, packing, personal_data, secret_scan, voronoi, warc,
 )
 from weblens.llm.common import table
 from weblens.llm.sql import ORACLES
@@ -82,6 +82,19 @@ def op11_lookup_clustering(spark: SparkSession, d: str) -> DataFrame:
     return lookup_clustering.cluster(rows.select("vec_id", voronoi.quantize(F.col("embedding"), 64).alias("vector")))
 
 
+def op12_personal_data(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    found = personal_data.scan(docs, personal_data.fit(docs))
+    return found.withColumn("spans", personal_data.shown(F.col("all_spans"))).drop("all_spans")
+
+
+def op13_coordinate_mining(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").where(voronoi.usable(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = rows.select("vec_id", label.alias("label"), voronoi.quantize(F.col("embedding")).alias("vector"))
+    return coordinate_mining.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +106,7 @@ QUERIES = {
     for f in (
         op1_warc_segments, op2_secret_scan, op3_pareto_mixing, op4_language_id, language_id_pages,
         op5_ngram_join, op6_voronoi_join, op7_hilbert_search, op8_byte_network, op9_swap_packing,
-        op10_licence_scan, op11_lookup_clustering, pipeline,
+        op10_licence_scan, op11_lookup_clustering, op12_personal_data, op13_coordinate_mining, pipeline,
     )
 }
 
