@@ -12,8 +12,8 @@ import numpy as np
 
 HIDDEN = 20
 BATCH = 64
-EPOCHS = 10
-RATE = 0.012
+EPOCHS = 14
+RATE = 0.02
 _NEVER = -1e4
 
 #: The alphabet: padding, other letters, other characters, ASCII by folded character.

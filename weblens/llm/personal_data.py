@@ -46,7 +46,7 @@ _TRIGGER = re.compile(r"[0-9@]+")
 
 WIDTH = 96
 STRIDE = WIDTH // 2
-CERTAIN = 0.9
+CERTAIN = 0.5
 SAMPLE = 16_384  # documents read for training
 EXAMPLES = 160  # windows of each kind and of each source of examples
 
@@ -191,17 +191,16 @@ def training_set(rows: list[tuple[int, str, list[tuple[int, int, int]]]], exampl
     windows, tags = [w for _, w, _ in rows], [tags_of(s, len(w)) for _, w, s in rows]
     clear = [w for source, w, _ in rows if source == 5]
     for n in range(examples * len(KINDS) if clear else 0):
-        kind, text = n % len(KINDS), clear[int(draw.integers(0, len(clear)))]
-        span = variant(kind, draw)
-        room = max(len(text) - len(span) - 2, 0)
-        at = int(draw.integers(0, room + 1))
-        left = (text[:at].rstrip() + " ") if at else ""
-        right = text[at + len(span) + 1 :].lstrip()
-        mark = (" ", " ", ", ", ". ", "\n", ") ")[int(draw.integers(0, 6))]
-        window = (left + span + (mark + right if right else ""))[:WIDTH]
-        if len(left) + len(span) <= WIDTH:
-            windows.append(window)
-            tags.append(tags_of([(kind, len(left), len(left) + len(span))], len(window)))
+        text, window, spans = clear[int(draw.integers(0, len(clear)))], "", []
+        at = int(draw.integers(0, STRIDE))
+        window = text[:at].rstrip() + " " if at else ""
+        for kind in [n % len(KINDS), *draw.integers(0, len(KINDS), int(draw.random() < 0.3))]:
+            span = variant(int(kind), draw)
+            spans.append((int(kind), len(window), len(window) + len(span)))
+            window += span + (" ", " ", ", ", ". ", "\n", ") ")[int(draw.integers(0, 6))]
+        window = (window + text[at:].lstrip())[:WIDTH]
+        windows.append(window)
+        tags.append(tags_of([s for s in spans if s[2] <= len(window)], len(window)))
     return windows, tags
 
 
