@@ -18,11 +18,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from oracles.sql import ORACLES  # noqa: E402
 from weblens.functions import html as H, retry, urls  # noqa: E402
 from weblens.functions.core import parse_rfc3339, rfc3339  # noqa: E402
-from weblens.operators import fetchlog, frontier, navigation, robots, seen, sessions, store  # noqa: E402
+from weblens.operators import backoff, fetchlog, frontier, navigation, robots, seen, sessions, store  # noqa: E402
 from weblens.plans import extraction, graph, inputs  # noqa: E402
 from weblens.plans.page_results import crawled_pages, page_edges, page_results  # noqa: E402
 from weblens.schemas import PAGE_RESULT_COLUMNS  # noqa: E402
 from weblens.sinks import exports, store as store_sink  # noqa: E402
+from weblens.sinks.bucketed import PageStore  # noqa: E402
 from weblens.sources import pages as page_sources, results as result_sources, seeds, sitemaps  # noqa: E402
 from weblens.streaming import crawl, run, stateful  # noqa: E402
 from weblens.workspace import Workspace  # noqa: E402
@@ -394,12 +395,14 @@ def robots_rules_join(spark, d):
     )
 
 
+def _candidates(spark, d):
+    pages = _px(spark, d)
+    return extraction.page_links(pages).select(F.col("link").alias("url")).unionByName(pages.select("url"))
+
+
 @query
 def frontier_new_urls(spark, d):
-    pages = _px(spark, d)
-    found = extraction.page_links(pages).select(F.col("link").alias("url"))
-    candidates = found.unionByName(pages.select("url"))
-    return frontier.frontier_new_urls(candidates, _results(spark, d))
+    return frontier.frontier_new_urls(_candidates(spark, d), _results(spark, d))
 
 
 @query
@@ -814,12 +817,31 @@ def stream_frontier_dedup(spark, d):
 def stream_host_backoff(spark, d):
     run.use_rocksdb(spark)
     space = Workspace(spark, "backoff")
-    # The state machine needs time order, so the replayed files form one micro-batch.
-    stream = stateful.stream_host_backoff(run.replay(space, _log(spark, d), "in", 100_000))
-    run.append_to_table(stream, space.file("out"), space.file("checkpoint"))
-    return space.read("out", stream).select(
-        "host", "url", _micros("ts"), "attempt", "fails", _micros("backoff_until")
-    )
+    # Files out of order in many micro-batches; a row may be late by the delay that the replay states.
+    stream, delay = run.replay_in_disorder(space, _log(spark, d), "in", "url", {"host": "-"})
+    states = stateful.stream_host_backoff(stream, delay)
+    run.append_to_table(states, space.file("out"), space.file("checkpoint"))
+    return _backoff_shown(space.read("out", states))
+
+
+def _backoff_shown(states):
+    return states.select("host", "url", _micros("ts"), "attempt", "fails", _micros("backoff_until"))
+
+
+@query
+def host_backoff(spark, d):
+    """The rule of the stream in batch: a wait that runs keeps what remains of it."""
+    return _backoff_shown(backoff.host_backoff(_log(spark, d)))
+
+
+@query
+def stream_capped_sessions(spark, d):
+    run.use_rocksdb(spark)
+    space = Workspace(spark, "session-stream")
+    stream, delay = run.replay_in_disorder(space, _events(spark, d), "in", "event_id", {"user_id": -1})
+    found = stateful.stream_capped_sessions(stream, 86400, 10, delay)
+    run.append_to_table(found, space.file("out"), space.file("checkpoint"))
+    return space.read("out", found).select("user_id", "event_id", "session_no")
 
 
 @query
@@ -831,20 +853,47 @@ def stream_progress(spark, d):
     return crawl.progress_report(latest).withColumn("window_start", F.expr(rfc3339("window_start")))
 
 
+@query
+def stream_progress_totals(spark, d):
+    """Running totals every five seconds, held in the stream."""
+    run.use_rocksdb(spark)
+    space = Workspace(spark, "totals")
+    stream, delay = run.replay_in_disorder(space, _log(spark, d), "in", "url", {"host": "-"})
+    totals = stateful.stream_progress_totals(stream, watermark=delay)
+    run.append_to_table(totals, space.file("out"), space.file("checkpoint"))
+    return space.read("out", totals).withColumn("window_start", F.expr(rfc3339("window_start")))
+
+
 @query
 def stream_upsert_pages(spark, d):
     space = Workspace(spark, "upsert")
     pages = _pages(spark, d)
-    # Two files read in order, one per micro-batch: the second replaces rows of the first.
-    inputs.crawl_results(pages).coalesce(1).write.parquet(space.file("in/1"))
-    inputs.second_batch(pages).coalesce(1).write.parquet(space.file("in/2"))
-    stream = (
-        spark.readStream.schema(inputs.crawl_results(pages).schema)
-        .option("maxFilesPerTrigger", 1)
-        .parquet(space.file("in/*"))
-    )
-    crawl.stream_upsert_pages(stream, space.file("store"), space.file("checkpoint"))
-    return _shown(store_sink.read_pages(spark, space.file("store")))
+    # The second crawl is written when the first is stored, and replaces rows of it.
+    schema = inputs.crawl_results(pages).schema
+    with PageStore(spark, space.file("store"), 16) as kept:
+        for results in (inputs.crawl_results(pages), inputs.second_batch(pages)):
+            results.write.mode("append").parquet(space.file("in"))
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(space.file("in"))
+            crawl.stream_into_store(stream, kept, space.file("checkpoint"))
+        return _shown(space.table("pages", kept.pages()))
+
+
+@query
+def store_new_urls(spark, d):
+    """Candidates against the bucketed store's seen set, which stays where it lies."""
+    space = Workspace(spark, "seen")
+    with PageStore(spark, space.file("store"), 16) as kept:
+        kept.save(_results(spark, d), 1)
+        return space.table("new", kept.new_urls(_candidates(spark, d)))
+
+
+@query
+def stream_active_keys(spark, d):
+    space = Workspace(spark, "active")
+    stream, delay = run.replay_in_disorder(space, _events(spark, d), "in", "event_id", {"user_id": -1})
+    found = crawl.stream_active_keys(stream, watermark=delay)
+    run.append_to_table(found, space.file("out"), space.file("checkpoint"))
+    return space.read("out", found).withColumn("window_start", F.expr(rfc3339("window_start")))
 
 
 @query

@@ -445,3 +445,15 @@ ORACLES["resolve_url"] = with_(PX, normalized(anchors("px"))) + """SELECT page_i
 ORACLES["clamp01"] = f"SELECT event_id, clamped FROM ({ORACLES['weight_math']})"
 ORACLES["bias_pow"] = f"SELECT event_id, biased FROM ({ORACLES['weight_math']})"
 ORACLES["domain_no_port"] = f"SELECT page_id, domain FROM ({ORACLES['url_host']})"
+ORACLES["host_backoff"] = ORACLES["stream_host_backoff"]
+ORACLES["stream_capped_sessions"] = ORACLES["capped_sessions"]
+ORACLES["store_new_urls"] = ORACLES["frontier_new_urls"]
+ORACLES["stream_active_keys"] = ORACLES["active_keys"]
+ORACLES["stream_progress_totals"] = with_(FL) + f"""SELECT {rfc3339('w')} AS window_start,
+    CAST(sum(a) OVER (ORDER BY w) AS BIGINT) AS discovered,
+    CAST(sum(p) OVER (ORDER BY w) AS BIGINT) AS processed,
+    CAST(sum(e) OVER (ORDER BY w) AS BIGINT) AS errors,
+    CAST(sum(a - p - e) OVER (ORDER BY w) AS BIGINT) AS pending
+  FROM (SELECT time_bucket(INTERVAL 5 SECOND, ts) AS w, count(*) AS a,
+          count(*) FILTER (WHERE status_code = 200) AS p,
+          count(*) FILTER (WHERE failed) AS e FROM fl GROUP BY 1)"""

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from weblens.operators.robots import robots_allowed, robots_decisions
@@ -59,3 +62,36 @@ def test_missing_file_allows(spark):
     robots = spark.createDataFrame([], "robots_url string, status int, body string")
     urls = spark.createDataFrame([("http://x.org/a",)], "url string")
     assert robots_allowed(urls, robots, AGENT).count() == 1
+
+
+def brute_match(pattern, path):
+    """A pattern against a path by trying every place for every star."""
+    if pattern.endswith("$"):
+        pattern, rest_may_follow = pattern[:-1], False
+    else:
+        rest_may_follow = True
+    places = {0}
+    for c in pattern:
+        if c == "*":
+            places = set(range(min(places), len(path) + 1)) if places else set()
+        else:
+            places = {p + 1 for p in places if p < len(path) and path[p] == c}
+    return bool(places) if rest_may_follow else len(path) in places
+
+
+def test_patterns_against_every_way_to_match(spark):
+    draw = random.Random(6)
+    patterns = {"/" + "".join(draw.choice("ab*/$") for _ in range(draw.randint(0, 6))) for _ in range(120)}
+    paths = {"/" + "".join(draw.choice("ab/$") for _ in range(draw.randint(0, 7))) for _ in range(150)}
+    rows = [(n, p) for n, p in enumerate(sorted(patterns))]
+    robots = spark.createDataFrame([(f"http://h{n}.org/robots.txt", 200, f"User-agent: *\nDisallow: {p}") for n, p in rows], "robots_url string, status int, body string")
+    urls = spark.createDataFrame([(n, q, f"http://h{n}.org{q}") for n, _ in rows for q in sorted(paths)], "n int, path string, url string")
+    got = {(r.n, r.path): r.allowed for r in robots_decisions(urls, robots, AGENT).collect()}
+    assert got == {(n, q): not brute_match(p, q) for n, p in rows for q in sorted(paths)}
+
+
+def test_many_stars_take_no_time(spark):
+    body = "User-agent: *\nDisallow: /" + "*a" * 30 + "*b$\n"
+    start = time.time()
+    assert decide(spark, body, "/" + "a" * 50_000, "/" + "a" * 50_000 + "b", "/" + "a" * 29 + "b") == [True, False, True]
+    assert time.time() - start < 30  # job overhead included; backtracking would take for ever

@@ -33,28 +33,75 @@ def test_backoff_rule():
     assert backoff_step(3, 50, 60, 200, False) == (0, 0)
 
 
-def test_backoff_state_lives_across_batches(spark):
-    run.use_rocksdb(spark)
-    rng = random.Random(4)
+CLOSING = START + timedelta(days=4000)  # a row that lets the watermark pass all others
+
+
+def fetch_rows(rng, n):
     rows = []
-    for i in range(300):
+    for i in range(n):
         status = rng.choice([200, 404, 429, 500, 0])
         rows.append((rng.choice("ab"), f"u{i}", START + timedelta(milliseconds=700 * i), 0, status, "x" if status == 0 else None))
-    space = Workspace(spark, "test-backoff")
-    out, checkpoint = space.file("out"), space.file("ck")
-    stream = None
-    for part in (rows[:120], rows[120:]):
-        write(spark.createDataFrame(part, FETCH_LOG), space, "in")
-        stream = stream_host_backoff(stream_of(spark, space, "in", FETCH_LOG))
-        run.append_to_table(stream, out, checkpoint)
+    return rows
+
+
+def backoff_of(rows):
     state, want = {}, {}
-    for host, url, ts, _, status, error in rows:
+    for host, url, ts, _, status, error in sorted(rows, key=lambda r: r[2]):
         failed = error is not None or status in (429, 500, 502, 503, 504)
         us = int((ts - datetime(1970, 1, 1)).total_seconds() * 1_000_000)
         state[host] = backoff_step(*state.get(host, (0, 0)), us, status, failed)
         want[url] = (state[host][0], state[host][1] or None)
+    return want
+
+
+def shown_backoff(space, stream):
     got = space.read("out", stream).select("url", "fails", F.unix_micros("backoff_until").alias("us")).collect()
-    assert {r.url: (r.fails, r.us) for r in got} == want
+    assert len(got) == len({r.url for r in got})
+    return {r.url: (r.fails, r.us) for r in got}
+
+
+def test_backoff_state_lives_across_batches(spark):
+    run.use_rocksdb(spark)
+    rows = fetch_rows(random.Random(4), 300)
+    space = Workspace(spark, "test-backoff")
+    stream = None
+    for part in (rows[:120], rows[120:], [("-", "end", CLOSING, 0, 200, None)]):
+        write(spark.createDataFrame(part, FETCH_LOG), space, "in")
+        stream = stream_host_backoff(stream_of(spark, space, "in", FETCH_LOG), "1 second")
+        run.append_to_table(stream, space.file("out"), space.file("ck"))
+    assert shown_backoff(space, stream) == backoff_of(rows)
+
+
+def test_backoff_of_shuffled_files_and_late_rows(spark):
+    run.use_rocksdb(spark)
+    rng = random.Random(5)
+    rows = fetch_rows(rng, 240)
+    arriving = sorted(rows, key=lambda r: r[2] + timedelta(seconds=rng.randrange(30)))
+    space = Workspace(spark, "test-disorder")
+    late = ("a", "late", START, 0, 500, None)  # comes when its moment has long been passed
+    parts = [arriving[n : n + 40] for n in range(0, 240, 40)]
+    for part in [*parts, [late], [("-", "end", CLOSING, 0, 200, None)]]:
+        rng.shuffle(part)
+        write(spark.createDataFrame(part, FETCH_LOG), space, "in")
+    stream = stream_host_backoff(stream_of(spark, space, "in", FETCH_LOG), "31 seconds")
+    run.append_to_table(stream, space.file("out"), space.file("ck"))
+    assert shown_backoff(space, stream) == backoff_of(rows)
+
+
+def test_idle_hosts_leave_the_state(spark):
+    run.use_rocksdb(spark)
+    space = Workspace(spark, "test-idle")
+    sizes = []
+    for day, hosts in enumerate((range(40), range(3), range(3), range(2))):
+        rows = [(f"h{h}", f"u{day}-{h}", START + timedelta(days=10 * day, minutes=h), 0, 500, None) for h in hosts]
+        write(spark.createDataFrame(rows, FETCH_LOG), space, "in")
+        stream = stream_host_backoff(stream_of(spark, space, "in", FETCH_LOG), "1 minute", forget_after_seconds=12 * 86400)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", space.file("ck")).trigger(availableNow=True).start(space.file("out"))
+        query.awaitTermination()
+        sizes.append(query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+    assert sizes[2] < sizes[0] / 3  # the hosts of the first day are gone, not only idle
+    got = {r.url: r.fails for r in spark.read.parquet(space.file("out")).collect()}
+    assert got["u1-0"] == 2 and got["u2-1"] == 3  # hosts that come back in time go on
 
 
 def test_sessions_stream_equals_batch(spark):
@@ -66,9 +113,10 @@ def test_sessions_stream_equals_batch(spark):
         rows.append((rng.choice([0, 0, 1, 2]), event, now))
     schema = "user_id long, event_id long, ts timestamp"
     space = Workspace(spark, "test-sessions")
-    for part in (rows[:150], rows[150:]):
+    shuffled = sorted(rows, key=lambda r: r[2] + timedelta(seconds=rng.randrange(300)))
+    for part in (shuffled[:150], shuffled[150:], [(-1, -1, CLOSING)]):
         write(spark.createDataFrame(part, schema), space, "in")
-        stream = stream_capped_sessions(stream_of(spark, space, "in", schema), 120, 5)
+        stream = stream_capped_sessions(stream_of(spark, space, "in", schema), 120, 5, "301 seconds")
         run.append_to_table(stream, space.file("out"), space.file("ck"))
     batch = capped_sessions(spark.createDataFrame(rows, schema), 120, 5)
     want = {r.event_id: r.session_no for r in batch.collect()}

@@ -70,6 +70,9 @@ class Node:
     link: Link | None = None
     #: The innermost open element around this one.
     around: Link | None = None
+    #: What a selector keeps of the element.
+    facts: object = None
+    matched: int = 0
 
     @property
     def ancestors(self) -> list["Node"]:
@@ -128,7 +131,8 @@ def select(page: str, wanted) -> list[Node]:
         nonlocal pushed
         pushed += 1
         node.serial, node.around = pushed, stack[-1].link
-        if wanted(node, stack):
+        node.matched = int(wanted(node, stack) or 0)
+        if node.matched:
             node.text = []
             selected.append(node)
             if keep_open:
@@ -293,54 +297,3 @@ def select(page: str, wanted) -> list[Node]:
             if tag in _FORMATTING and not foreign:
                 open_formatting(node)
     return selected
-
-
-_STEP = re.compile(
-    r"(?P<tag>[a-zA-Z][\w-]*|\*)?(?P<rest>(?:[.#][\w-]+|\[[\w:-]+(?:=(?:'[^']*'|\"[^\"]*\"|[\w-]+))?\])*)$"
-)
-_CONDITION = re.compile(r"([.#])([\w-]+)|\[([\w:-]+)(?:=('[^']*'|\"[^\"]*\"|[\w-]+))?\]")
-
-
-def _compile_step(text: str):
-    match = _STEP.match(text)
-    if not match or not text:
-        raise ValueError(f"unsupported selector: {text!r}")
-    tag = (match["tag"] or "*").lower()
-    conditions = []
-    for kind, name, attribute, value in _CONDITION.findall(match["rest"]):
-        if kind == ".":
-            conditions.append(lambda n, c=name: c in n.attributes.get("class", "").split())
-        elif kind == "#":
-            conditions.append(lambda n, i=name: n.attributes.get("id") == i)
-        elif value:
-            wanted = value[1:-1] if value[0] in "'\"" else value
-            conditions.append(
-                lambda n, a=attribute.lower(), v=wanted: n.attributes.get(a) == v
-            )
-        else:
-            conditions.append(lambda n, a=attribute.lower(): a in n.attributes)
-    return lambda n: tag in ("*", n.tag) and all(c(n) for c in conditions)
-
-
-def selector(text: str):
-    """Predicate for a selector: tag, .class, #id, [attr], [attr='v'], descendant and comma."""
-    paths = [
-        [_compile_step(s) for s in re.split(r"\s+(?![^\[]*\])", p.strip())]
-        for p in re.split(r",(?![^\[]*\])", text)
-    ]
-
-    def wanted(node: Node, stack: list[Node]) -> bool:
-        for steps in paths:
-            if not steps[-1](node):
-                continue
-            need = len(steps) - 2
-            for ancestor in reversed(stack):
-                if need < 0:
-                    break
-                if steps[need](ancestor):
-                    need -= 1
-            if need < 0:
-                return True
-        return False
-
-    return wanted

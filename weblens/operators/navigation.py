@@ -10,6 +10,7 @@ from pyspark.sql.functions import udtf
 
 from weblens.functions import dom
 from weblens.functions.core import Sql, each, each_indexed, keep, let, uniform
+from weblens.functions.selectors import Matcher
 from weblens.functions.urls import normalize_in, split_base
 from weblens.shipping import ship_package
 
@@ -231,31 +232,46 @@ def select_weighted_link(weighted: DataFrame, bias: float, seed: int = 0) -> Dat
 
 
 class SelectText:
-    """Table function: (pos, text) of every element matching a CSS selector."""
+    """Table function: (selector, pos, text) of every element that matches one of an array of CSS selectors."""
 
     def __init__(self):
         self.compiled = {}
 
-    def eval(self, page: str, selector: str):
-        if selector not in self.compiled:
-            self.compiled[selector] = dom.selector(selector)
-        for pos, node in enumerate(dom.select(page or "", self.compiled[selector])):
-            yield pos, "".join(node.text).strip()
+    def eval(self, page: str, selectors: list[str]):
+        key = tuple(selectors)
+        if key not in self.compiled:
+            self.compiled[key] = Matcher(key)
+        found = [0] * len(key)
+        for node in dom.select(page or "", self.compiled[key]):
+            text = "".join(node.text).strip()
+            for n in range(len(key)):
+                if node.matched >> n & 1:
+                    yield n, found[n], text
+                    found[n] += 1
 
 
 def register_select_text(spark: SparkSession) -> None:
-    """Make ``select_text(html, selector)`` available to SQL, for use with LATERAL."""
+    """Make ``select_text(html, selectors)`` available to SQL, for use with LATERAL."""
     ship_package()
-    spark.udtf.register("select_text", udtf(SelectText, returnType="pos int, text string"))
+    spark.udtf.register("select_text", udtf(SelectText, returnType="selector int, pos int, text string"))
 
 
-def extract_by_selector(pages: DataFrame, selector: str) -> DataFrame:
-    """Trimmed text of every matching element per page, in page order."""
-    dom.selector(selector)  # an unsupported selector fails here, not in a task
+def extract_by_selectors(pages: DataFrame, selectors: dict[str, str]) -> DataFrame:
+    """(page_id, name, pos, text): trimmed text of every element that matches, by the selector's name.
+
+    All selectors are matched in one pass over a page; ``pos`` counts the matches of each in page order.
+    """
+    Matcher(selectors.values())  # an unsupported selector fails here, not in a task
     spark = pages.sparkSession
     register_select_text(spark)
     return spark.sql(
-        "SELECT p.page_id, t.pos, t.text FROM {pages} p, LATERAL select_text(p.html, :selector) t",
-        args={"selector": selector},
+        """SELECT p.page_id, element_at(:names, t.selector + 1) AS name, t.pos, t.text
+        FROM {pages} p, LATERAL select_text(p.html, :selectors) t""",
+        args={"selectors": list(selectors.values()), "names": list(selectors)},
         pages=pages.select("page_id", "html"),
     )
+
+
+def extract_by_selector(pages: DataFrame, selector: str) -> DataFrame:
+    """Trimmed text of every matching element per page, in page order."""
+    return extract_by_selectors(pages, {"": selector}).drop("name")

@@ -7,7 +7,7 @@ is neither multiplied by the rules nor grouped again afterwards.
 
 from pyspark.sql import DataFrame, functions as F
 
-from weblens.functions.core import Sql, each, keep, let, lit
+from weblens.functions.core import Sql, each, keep, let, lit, variable
 from weblens.functions.urls import robots_url, url_path
 
 _BREAK = "\u0001"
@@ -25,7 +25,7 @@ def _directive(line: Sql) -> Sql:
 
 
 def rules_for(body: Sql, agent: str) -> Sql:
-    """Array of (allow, pattern, regex) of the group that applies to ``agent``.
+    """Array of (allow, pattern, parts, ends) of the group that applies to ``agent``.
 
     The group with the longest matching agent prefix applies, ``*`` being the
     weakest; groups naming the same agent are read together.
@@ -78,20 +78,35 @@ def rules_for(body: Sql, agent: str) -> Sql:
 
 
 def _rule(text: Sql) -> Sql:
+    """The literal parts of a pattern between its ``*``, and whether a ``$`` ends it."""
+
     def build(pattern):
         body = f"regexp_replace({pattern}, '[$]$', '')"
-        # Each special character is escaped by itself: a pattern may hold any text.
-        special = r"""'([\\\\.\\[\\]{}()^$|?+*])', '\\\\$1'"""
-        quoted = each(f"split({body}, '[*]')", lambda s: f"regexp_replace({s}, {special})")
-        regex = (
-            f"concat('^', array_join({quoted}, '.*'), if(endswith({pattern}, '$'), '$', ''))"
-        )
         return f"""named_struct('allow', startswith({text}, 'a:'), 'pattern', {pattern},
-            'regex', if({pattern} rlike '[*]|[$]$', {regex}, null))"""
+            'parts', split({body}, '[*]'), 'ends', endswith({pattern}, '$'))"""
 
     return let(f"substr({text}, 3)", build)
 
 
+def pattern_matches(path: Sql, rule: Sql) -> Sql:
+    """Whether a path matches a rule, in one pass over the path.
+
+    The first part must begin the path; every other is looked for from where the one before
+    ended, and the first place is always the best one, so nothing is ever tried again. With
+    ``$`` the last part must be the path's end, at or after that place.
+    """
+    at, part = variable(), variable()
+    first, last = f"{rule}.parts[0]", f"element_at({rule}.parts, -1)"
+    middle = f"slice({rule}.parts, 2, size({rule}.parts) - 1 - if({rule}.ends, 1, 0))"
+    # The place (from 1) after the parts found so far; 0 when one was not found.
+    place = f"""aggregate({middle}, length({first}) + 1, ({at}, {part}) ->
+        if({at} = 0 or {part} = '', {at}, {let(f"locate({part}, {path}, {at})", lambda p: f"if({p} = 0, 0, {p} + length({part}))")}))"""
+    room = f"length({path}) - length({last}) + 1"
+    wild = let(place, lambda p: f"{p} > 0 and (not {rule}.ends or ({room} >= {p} and endswith({path}, {last})))")
+    return f"""(startswith({path}, {first}) and
+        case when size({rule}.parts) > 1 then {wild} when {rule}.ends then {path} = {first} else true end)"""
+
+
 def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     """(robots_url, rules) of every robots file that exists; a 404 means no rules."""
     return robots.where("status <> 404").selectExpr(
@@ -106,10 +121,7 @@ def robots_decisions(urls: DataFrame, robots: DataFrame, agent: str) -> DataFram
     matching rule a URL is allowed.
     """
     rules = robots_rules(robots, agent)
-    matches = keep(
-        "rules",
-        lambda r: f"if({r}.regex is null, startswith(path, {r}.pattern), path rlike {r}.regex)",
-    )
+    matches = keep("rules", lambda r: pattern_matches("path", r))
     ranked = each(
         matches,
         lambda r: f"named_struct('n', length({r}.pattern), 'allow', {r}.allow, 'p', {r}.pattern)",

@@ -111,9 +111,14 @@ def _entry_states(max_age_us: int, max_events: int):
 def active_keys(
     events: DataFrame, window: str = "5 minutes", slide: str = "1 minute"
 ) -> DataFrame:
-    """Distinct users per trailing window. Users are deduplicated before the shuffle."""
+    """Distinct users per trailing window.
+
+    Users are deduplicated inside panes of one ``slide`` first, so a window copies users of
+    panes and never events.
+    """
+    panes = events.select(F.window(F.col("ts").cast("timestamp"), slide).alias("pane"), "user_id").distinct()
     return (
-        events.select(F.window(F.col("ts").cast("timestamp"), window, slide).alias("w"), "user_id")
+        panes.select(F.window(F.col("pane.start"), window, slide).alias("w"), "user_id")
         .distinct()
         .groupBy("w")
         .agg(F.count("*").alias("active"))

@@ -6,6 +6,8 @@ changes nothing and a write never rewrites the store. Readers take the newest
 row per URL; ``compact_pages`` folds the log into one batch.
 """
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,23 +30,33 @@ def save_page_batch(results: DataFrame, path: str, batch_seq: int) -> None:
 def first_batch(spark: SparkSession, path: str, checkpoint: str) -> int:
     """The batch number at which the stream of ``checkpoint`` starts in the store.
 
-    Chosen once, above every batch that is there, and kept beside the checkpoint: a
-    restart finds its own batches again, a fresh checkpoint never meets older ones.
     Batch 0 belongs to compaction.
     """
+
+    def last() -> int:
+        try:
+            return read_page_log(spark, path).agg(F.max("batch_seq")).first()[0] or 0
+        except AnalysisException as failure:
+            if failure.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return 0
+
+    return kept_first_batch(spark, checkpoint, last)
+
+
+def kept_first_batch(spark: SparkSession, checkpoint: str, last_batch: Callable[[], int]) -> int:
+    """The number of a stream's first batch, chosen once and kept beside its checkpoint.
+
+    It lies above every batch that is there: a restart finds its own batches again, a fresh
+    checkpoint never meets older ones.
+    """
     kept = f"{checkpoint}-first-batch"
     try:
         return spark.read.schema("first bigint").parquet(kept).first()[0]
     except AnalysisException as failure:
         if failure.getCondition() != "PATH_NOT_FOUND":
             raise
-    try:
-        last = read_page_log(spark, path).agg(F.max("batch_seq")).first()[0]
-    except AnalysisException as failure:
-        if failure.getCondition() != "PATH_NOT_FOUND":
-            raise
-        last = None
-    number = (last or 0) + 1
+    number = last_batch() + 1
     spark.range(1).select(F.lit(number).cast("bigint").alias("first")).write.parquet(kept)
     return number
 

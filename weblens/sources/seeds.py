@@ -7,17 +7,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weblens.functions.core import lit
 from weblens.functions.urls import domain_no_port, strip_wildcard, url_scheme
+from weblens.sources.json_arrays import read_json_arrays
 
 
 def read_certificates(spark: SparkSession, path: str, array_file: bool = True) -> DataFrame:
     """Certificate dump with ``name_value``.
 
-    A dump is one JSON array per file, which only a whole task can read; with
-    ``array_file=False`` the records stand one per line and files split freely.
+    A dump is one JSON array per file; many tasks read one file. With ``array_file=False`` the
+    records stand one per line.
     """
-    return (
-        spark.read.schema("name_value string").option("multiLine", array_file).json(path)
-    )
+    if array_file:
+        return read_json_arrays(spark, path, "name_value string")
+    return spark.read.schema("name_value string").json(path)
 
 
 def seed_ct(records: DataFrame, start_url: str, strict_domain: bool = False) -> DataFrame:

@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from weblens.functions.retry import retryable
 from weblens.operators.robots import robots_decisions
-from weblens.sinks.store import first_batch, save_page_batch
+from weblens.sinks.bucketed import PageStore
+from weblens.sinks.store import first_batch, kept_first_batch, save_page_batch
 from weblens.streaming.run import each_batch
 
 
@@ -19,8 +20,12 @@ def stream_frontier_dedup(stream: DataFrame, watermark: str | None = None) -> Da
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["url"])
 
 
-def stream_progress_counts(stream: DataFrame, interval: str = "5 seconds") -> DataFrame:
-    """Attempts, successes and errors per interval; emit in update mode."""
+def stream_progress_counts(stream: DataFrame, interval: str = "5 seconds", time_column: str | None = None) -> DataFrame:
+    """Attempts, successes and errors per interval; emit in update mode.
+
+    ``time_column`` names one more column, the interval's event time, for operators that follow.
+    """
+    at = [F.window_time("w").alias(time_column)] if time_column else []
     return (
         stream.groupBy(F.window("ts", interval).alias("w"))
         .agg(
@@ -28,7 +33,7 @@ def stream_progress_counts(stream: DataFrame, interval: str = "5 seconds") -> Da
             F.count_if(F.col("status_code") == 200).alias("processed"),
             F.count_if(F.expr(retryable())).alias("errors"),
         )
-        .select(F.col("w.start").alias("window_start"), "discovered", "processed", "errors")
+        .select(*at, F.col("w.start").alias("window_start"), "discovered", "processed", "errors")
     )
 
 
@@ -66,18 +71,34 @@ def stream_upsert_pages(stream: DataFrame, path: str, checkpoint: str) -> None:
     each_batch(stream, lambda frame, batch_id: save_page_batch(frame, path, first + batch_id), checkpoint)
 
 
+def stream_into_store(stream: DataFrame, store: PageStore, checkpoint: str) -> None:
+    """As ``stream_upsert_pages``, into a bucketed store: a micro-batch is shuffled to its buckets and nothing else is."""
+    first = kept_first_batch(stream.sparkSession, checkpoint, store.last_batch)
+    each_batch(stream, lambda frame, batch_id: store.save(frame, first + batch_id), checkpoint)
+
+
 def stream_robots_filter(stream: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """Robots decisions on a stream of URLs against a table of robots files."""
     return robots_decisions(stream, robots, agent)
 
 
 def stream_active_keys(
-    stream: DataFrame, window: str = "5 minutes", slide: str = "1 minute", watermark: str = "10 minutes"
+    stream: DataFrame, window: str = "5 minutes", slide: str = "1 minute", watermark: str = "10 minutes", lg_k: int = 14
 ) -> DataFrame:
-    """Approximate number of users per trailing window."""
-    return (
+    """Approximate number of users per trailing window, by panes: one sketch a ``slide``.
+
+    An event enters one pane's sketch and is never copied into the windows; a window merges the
+    sketches of its panes. The error is that of the sketch, about 0.8 / sqrt(2 ** lg_k) (0.7 % at 14),
+    and none while a window's users are few enough for the sketch to list them.
+    """
+    panes = (
         stream.withWatermark("ts", watermark)
-        .groupBy(F.window("ts", window, slide).alias("w"))
-        .agg(F.approx_count_distinct("user_id").alias("active"))
+        .groupBy(F.window("ts", slide).alias("pane"))
+        .agg(F.hll_sketch_agg("user_id", F.lit(lg_k)).alias("users"))
+    )
+    return (
+        panes.select(F.window_time("pane").alias("at"), "users")
+        .groupBy(F.window("at", window, slide).alias("w"))
+        .agg(F.hll_sketch_estimate(F.hll_union_agg("users", F.lit(False))).alias("active"))
         .select(F.col("w.start").alias("window_start"), "active")
     )

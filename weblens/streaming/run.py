@@ -17,6 +17,29 @@ def replay(space: Workspace, table: DataFrame, name: str, files_per_trigger: int
     )
 
 
+def replay_in_disorder(space: Workspace, table: DataFrame, name: str, draw: str, last: dict[str, object], slots: int = 2) -> tuple[DataFrame, str]:
+    """A table with a time ``ts`` as a stream whose rows come out of order; and the delay to wait for them.
+
+    The time the rows cover is cut into ``slots``; a row arrives up to half a slot late, by a
+    hash of column ``draw``, and the rows of a slot come in any order. Every slot is written when
+    the one before is there. A row far in the future with the values ``last`` (a key of its own)
+    comes at the end and lets the watermark pass all others.
+    """
+    low, high = table.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    width = max((high - low) // slots, 1) if low is not None else 1
+    late = F.pmod(F.xxhash64(F.lit("late"), F.col(draw)), F.lit(max(width // 2, 1)))
+    arrival = (F.unix_micros("ts") + late - F.lit(low or 0)) / F.lit(width)
+    placed = space.table(f"{name}-placed", table.withColumn("slot", F.least(F.floor(arrival), F.lit(slots)).cast("int")))
+    for slot in range(slots + 1):
+        placed.where((F.col("slot") == slot) | (F.col("ts").isNull() & F.lit(slot == 0))).drop("slot").write.mode("append").parquet(space.file(name))
+    delay = width + width // 2 + 1_000_000
+    end = F.timestamp_micros(F.lit((high or 0) + 3 * delay)).alias("ts")
+    closing = [end if c == "ts" else F.lit(last.get(c)).cast(table.schema[c].dataType).alias(c) for c in table.columns]
+    space.spark.range(1).select(*closing).write.mode("append").parquet(space.file(name))
+    stream = space.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 64).parquet(space.file(name))
+    return stream, f"{delay // 1_000_000 + 1} seconds"
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """Keep state on disk beside the JVM heap; stateful processors require it."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
