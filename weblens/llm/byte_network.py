@@ -4,7 +4,8 @@ Every byte has a learned embedding; learned filters slide over it in steps of tw
 rectifier follows. The text is cut into overlapping chunks that cover all of it, each
 filter's maximum is taken in each chunk, and the mean and the maximum over the chunks
 go into one logistic output. Learning runs on the driver on a bounded sample of labelled
-rows; scoring runs in the tasks, chunk by chunk, so memory does not grow with a text.
+rows, whole texts; scoring runs in the tasks. Both go through a text in blocks of chunks: of
+a block only each filter's maximum and, when learning, the bytes under it are kept.
 
 A null or empty text is one chunk of padding and gets a score. Repeated rows get equal
 scores; an empty table gives an empty result. Labels that are null are ignored, repeated
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weblens.llm.common import slices, workspace
 
@@ -26,22 +27,35 @@ STRIDE = 2
 EMBEDDING = 6
 FILTERS = 16
 SAMPLE = 4000  # labelled documents used for learning, half of each label if there are enough
-SAMPLE_CHUNKS = 6  # chunks of each of them, spread over the whole text
-EPOCHS = 14
+BLOCK = 128  # chunks worked on at once
+EPOCHS = 10
 RATE = 0.01
 SEED = 11
 _PAD = 256
 
 
-def chunks(data: np.ndarray, limit: int | None = None, draw: np.random.Generator | None = None) -> np.ndarray:
-    """Overlapping chunks of a text's bytes (n, CHUNK + WIDTH - STRIDE), padded at the end."""
-    n = max(1, -(-len(data) // CHUNK))
-    padded = np.full(n * CHUNK + WIDTH - STRIDE, _PAD, np.int16)
-    padded[: len(data)] = data
-    starts = np.arange(n) * CHUNK
-    if limit and n > limit:
-        starts = np.sort(draw.choice(starts, limit, replace=False))
-    return padded[starts[:, None] + np.arange(CHUNK + WIDTH - STRIDE)[None, :]]
+def count_chunks(data: np.ndarray) -> int:
+    return max(1, -(-len(data) // CHUNK))
+
+
+def blocks(texts: list[np.ndarray], size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(chunks, text of each): the overlapping chunks of all texts, padded at a text's end, ``size`` at a time."""
+    held, owners, n = [], [], 0
+    for number, data in enumerate(texts):
+        total, at = count_chunks(data), 0
+        while at < total:
+            take = min(total - at, size - n)
+            part = data[at * CHUNK : (at + take) * CHUNK + WIDTH - STRIDE]
+            padded = np.full(take * CHUNK + WIDTH - STRIDE, _PAD, np.int16)
+            padded[: len(part)] = part
+            held.append(padded[(np.arange(take) * CHUNK)[:, None] + np.arange(CHUNK + WIDTH - STRIDE)[None, :]])
+            owners.append(np.full(take, number))
+            at, n = at + take, n + take
+            if n == size:
+                yield np.concatenate(held), np.concatenate(owners)
+                held, owners, n = [], [], 0
+    if n:
+        yield np.concatenate(held), np.concatenate(owners)
 
 
 class ByteNetwork:
@@ -68,26 +82,22 @@ class ByteNetwork:
         top = np.take_along_axis(values, at[:, None, :], 1)[:, 0] + self.offsets
         return np.maximum(top, 0), at
 
-    def best(self, x: np.ndarray) -> np.ndarray:
-        """As ``pooled``, without positions."""
-        wide = self.embedding[x].reshape(len(x), -1)
-        step = wide.strides[1] * EMBEDDING * STRIDE
-        windows = np.lib.stride_tricks.as_strided(wide, (len(x), CHUNK // STRIDE, WIDTH * EMBEDDING), (wide.strides[0], step, wide.strides[1]))
-        values = np.ascontiguousarray(windows).reshape(-1, WIDTH * EMBEDDING) @ self.filters
-        return np.maximum(values.reshape(len(x), -1, FILTERS).max(axis=1) + self.offsets, 0)
+    def features(self, texts: list[np.ndarray], keep: list | None = None) -> np.ndarray:
+        """Mean and maximum of each filter's chunk maxima, per text."""
+        sizes = np.array([count_chunks(t) for t in texts])
+        means, tops = np.zeros((len(texts), FILTERS)), np.zeros((len(texts), FILTERS))
+        for x, owner in blocks(texts):
+            pooled, at = self.pooled(x)
+            np.add.at(means, owner, pooled)
+            np.maximum.at(tops, owner, pooled)
+            if keep is not None:
+                under = at[:, :, None] * STRIDE + np.arange(WIDTH)
+                keep.append((pooled, x[np.arange(len(x))[:, None, None], under], owner))
+        return np.concatenate([means / sizes[:, None], tops], axis=1)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Probability of label 1 of each text, with a few hundred chunks at a time."""
-        cut = [chunks(t) for t in texts]
-        sizes = np.array([len(c) for c in cut])
-        owner = np.repeat(np.arange(len(cut)), sizes)
-        means, tops = np.zeros((len(cut), FILTERS)), np.zeros((len(cut), FILTERS))
-        every = np.concatenate(cut)
-        for start in range(0, len(every), 128):
-            part = self.best(every[start : start + 128])
-            np.add.at(means, owner[start : start + 128], part)
-            np.maximum.at(tops, owner[start : start + 128], part)
-        logits = np.concatenate([means / sizes[:, None], tops], axis=1) @ self.output.astype(np.float64) + float(self.bias[0])
+        """Probability of label 1 of each text."""
+        logits = self.features(texts) @ self.output.astype(np.float64) + float(self.bias[0])
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
 
@@ -98,35 +108,29 @@ def learn(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epoc
     net = ByteNetwork(draw, float(np.log(share / (1 - share))))
     if len(set(labels.tolist())) < 2:
         return net
-    cut = [chunks(t, SAMPLE_CHUNKS, draw) for t in texts]
     first = [np.zeros_like(p) for p in net.parameters()]
     second = [np.zeros_like(p) for p in net.parameters()]
+    sizes = np.array([count_chunks(t) for t in texts])
     turn, size = 0, 32
     for epoch in range(epochs):
-        order = draw.permutation(len(cut))
+        order = draw.permutation(len(texts))
         for start in range(0, len(order), size):
             some = order[start : start + size]
-            x = np.concatenate([cut[i] for i in some])
-            counts = np.array([len(cut[i]) for i in some])
-            owner = np.repeat(np.arange(len(some)), counts)
-            pooled, at = net.pooled(x)
-            means, tops = np.zeros((len(some), FILTERS), np.float32), np.full((len(some), FILTERS), -1, np.float32)
-            np.add.at(means, owner, pooled)
-            means /= counts[:, None]
-            np.maximum.at(tops, owner, pooled)
-            features = np.concatenate([means, tops], axis=1)
+            kept: list = []
+            features = net.features([texts[i] for i in some], kept).astype(np.float32)
+            pooled, codes, owner = (np.concatenate(c) for c in zip(*kept))
+            tops = features[:, FILTERS:]
             p = 1 / (1 + np.exp(-np.clip(features @ net.output + net.bias[0], -30, 30)))
             error = ((p - labels[some]) * weights[some] / len(some)).astype(np.float32)
             back = error[:, None] * net.output[None, :]
-            slope = back[owner, :FILTERS] / counts[owner, None] + back[owner, FILTERS:] * (pooled == tops[owner])
-            slope *= pooled > 0
+            slope = back[owner, :FILTERS] / sizes[some][owner, None] + back[owner, FILTERS:] * (pooled == tops[owner])
+            slope = (slope * (pooled > 0)).astype(np.float32)
             g_filters, g_embedding = np.zeros_like(net.filters), np.zeros_like(net.embedding)
             for f in range(FILTERS):
                 live = np.flatnonzero(slope[:, f])
-                codes = x[live[:, None], at[live, f][:, None] * STRIDE + np.arange(WIDTH)[None, :]]
-                patches = net.embedding[codes].reshape(len(live), WIDTH * EMBEDDING)
+                patches = net.embedding[codes[live, f]].reshape(len(live), WIDTH * EMBEDDING)
                 g_filters[:, f] = slope[live, f] @ patches
-                np.add.at(g_embedding, codes, slope[live, f][:, None, None] * net.filters[:, f].reshape(1, WIDTH, EMBEDDING))
+                np.add.at(g_embedding, codes[live, f], slope[live, f][:, None, None] * net.filters[:, f].reshape(1, WIDTH, EMBEDDING))
             gradients = [g_embedding, g_filters, slope.sum(0), features.T @ error + 1e-4 * net.output, np.array([error.sum()])]
             turn += 1
             rate = RATE * (1 - 0.9 * epoch / epochs)
@@ -149,27 +153,19 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quali
     """
     given = labels.where(allowed & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"))
     shares = {int(r["y"]): r["n"] for r in given.groupBy("y").agg(F.count("*").alias("n")).collect() if r["y"] in (0, 1)}
-    chosen: dict[int, int] = {}
-    for y in shares:
-        some = given.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
-        chosen |= {r["doc_id"]: y for r in some.collect()}
-    texts, found = {}, {}
-    if chosen:
-        for r in docs.where(F.col("doc_id").isin(list(chosen))).select("doc_id", "text").toLocalIterator():
-            data = chunks(_array(r["text"] or ""), SAMPLE_CHUNKS, np.random.default_rng(r["doc_id"] % (1 << 32)))
-            texts[r["doc_id"]] = data
-            found[r["doc_id"]] = chosen[r["doc_id"]]
-    ids = sorted(found)
-    y = np.array([found[i] for i in ids], float)
-    weights = np.array([shares[int(v)] / max(sum(1 for w in found.values() if w == v), 1) for v in y])
+    space = workspace(docs.sparkSession, "network")
+    draw = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = given.where(F.col("y").isin(0, 1)).withColumn("n", F.row_number().over(draw)).where(F.col("n") <= sample // 2)
+    chosen = space.table("chosen", chosen.select(F.col("doc_id").alias("id"), F.col("y").cast("int").alias("y")))
+    # At most ``sample`` ids, so the texts are found in the scan; of texts under one id the one with the least hash.
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["id"]).groupBy("id", "y")
+    rows = found.agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).orderBy("id").collect()
+    y = np.array([r["y"] for r in rows], float)
+    counts = {v: max(int((y == v).sum()), 1) for v in (0, 1)}
+    weights = np.array([shares[int(v)] / counts[int(v)] for v in y])
     weights = weights / weights.mean() if len(weights) else weights
-    return learn([_bytes_of(texts[i]) for i in ids], y, weights)
-
-
-def _bytes_of(cut: np.ndarray) -> np.ndarray:
-    """The bytes of drawn chunks, end to end."""
-    flat = cut[:, :CHUNK].ravel()
-    return flat[flat != _PAD].astype(np.uint8)
+    return learn([_array(r["text"]) for r in rows], y, weights)
 
 
 def score(docs: DataFrame, net: ByteNetwork) -> DataFrame:

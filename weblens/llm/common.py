@@ -75,13 +75,22 @@ def emit(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
-def without(docs: DataFrame, rejected: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, text digest) is not in the written table ``rejected``.
+def text_key(text: str = "text") -> Column:
+    """xxhash64 of a text; a null one counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def as_row(docs: DataFrame, *keys: Column) -> DataFrame:
+    """``docs`` as one struct column ``row`` beside key columns, so that no name of theirs can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keys)
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, text_key) is not in the written table ``rejected``.
 
     ``rejected`` comes from a table of known size, so a short list is broadcast
     by the optimizer and a long one is joined by shuffle.
     """
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    r = rejected.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    return docs.withColumn("_text_key", key).join(r, on, "left_anti").drop("_text_key")
+    rows = as_row(docs, F.col("doc_id").alias("id"), text_key().alias("key"))
+    r = rejected.select(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key")).distinct()
+    return rows.join(r, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("key") == F.col("r_key")), "left_anti").select("row.*")

@@ -32,6 +32,7 @@ BITS = 7
 WINDOW = 0.07  # share of the table on either side of a query, per curve
 LEAST_WINDOW = 64
 BLOCK = 8192
+CHUNK_QUERIES = 4096
 SEED = 20240607
 
 
@@ -135,7 +136,8 @@ def search(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     size = len(first["vector"])
     same = Window.partitionBy("vector").orderBy("vec_id")
-    kept = rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).select("vec_id", "vector")
+    # Rows that repeat id and vector are one result; of equal vectors the k + 1 smallest ids stand for all.
+    kept = rows.distinct().withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).select("vec_id", "vector")
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     marked = kept.withColumns({"is_query": F.lit(False), "is_row": F.lit(True)}).union(asked.withColumns({"is_query": F.lit(True), "is_row": F.lit(False)}))
     schema = "curve int, key long, vec_id long, vector array<double>, is_query boolean, is_row boolean"
@@ -155,9 +157,17 @@ def search(
     low = F.greatest(F.col("pos") - wide, F.lit(0))
     high = F.least(F.col("pos") + wide, F.lit(total - 1))
     met = F.explode(F.sequence(F.floor(low / block), F.floor(high / block)))
+    # Queries that are neighbours on a curve are a chunk of bounded size; a block is copied to the chunks that meet it.
+    asking = max(1, placed.where("is_query").count() // curves)
+    span = max(1, CHUNK_QUERIES * total // asking)
     sent = placed.where("is_query").select(
-        F.col("curve").alias("q_curve"), met.alias("q_block"), F.col("pos").alias("q_pos"), F.col("vec_id").alias("q_id"), F.col("vector").alias("q_vector")
+        F.col("curve").alias("q_curve"), met.alias("q_block"), F.floor(F.col("pos") / span).alias("q_chunk"),
+        F.col("pos").alias("q_pos"), F.col("vec_id").alias("q_id"), F.col("vector").alias("q_vector"),
     )
-    found = sent.groupBy("q_curve", "q_block").cogroup(data.groupBy("curve", "block")).applyInPandas(_search(k, wide), "query_id long, vec_id long, score double")
+    sent = space.table("sent", sent)
+    pairs = space.table("pairs", sent.select(F.col("q_curve").alias("curve"), F.col("q_block").alias("block"), F.col("q_chunk").alias("chunk")).distinct())
+    data = data.join(pairs, ["curve", "block"])
+    pairs = sent.groupBy("q_curve", "q_block", "q_chunk").cogroup(data.groupBy("curve", "block", "chunk"))
+    found = pairs.applyInPandas(_search(k, wide), "query_id long, vec_id long, score double")
     # A pair found on several curves has the same score; repeated rows count once per curve.
     return ranked(found.distinct(), k)

@@ -10,11 +10,18 @@
    towards that of the host's parent domain, which is smoothed towards the whole
    corpus. The document's own vote is taken out of its host's counts.
 
+The languages are the declared values of at least ``LEAST_DOCS`` documents, found by a
+grouped count, the most frequent ``MAX_LANGUAGES`` of them. Any other text is for the model
+"other": the mean of all languages' trigrams, and a small share spread evenly over all
+trigrams, less ``MARGIN``. A text of a modelled language is likelier under its own model than
+under their mean, one in several of them not much less likely; both stay. One of no modelled
+language is far less likely under any of them. "other" takes part in all evidence like a language.
+
 The posterior is the normalised product. A document is rejected when it has no
-letters or when the best language stays below ``least`` posterior. A null or empty
-text has no text evidence and is rejected; null declared values, suffixes and hosts
-are a value of their own. Repeated rows give repeated results; an empty table gives
-an empty one. Languages outside ``languages`` are not modelled.
+letters, when "other" is the best, or when the best language stays below ``least`` posterior.
+A null or empty text has no text evidence and is rejected; null declared values, suffixes and
+hosts are a value of their own, apart from empty ones. Repeated rows give repeated results; an
+empty table gives an empty one.
 """
 
 from collections.abc import Iterator
@@ -25,7 +32,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weblens.llm.common import emit, workspace
 
-LANGUAGES = ("de", "en", "es", "fr")
+OTHER = "other"
+LEAST_DOCS = 20  # documents that declare a language, for it to be modelled
+MAX_LANGUAGES = 64
+EVEN_SHARE = 0.01  # of the model "other"
+MARGIN = 1.0  # by which "other" must be likelier than a language, per trigram, in nats
 BUCKET_BITS = 14
 LEAST_POSTERIOR = 0.5
 FULL_GRAMS = 300  # beyond this many trigrams a longer text counts no more
@@ -90,7 +101,10 @@ def _likelihoods(docs: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
     for row in parts.collect():  # 16 rows per language
         totals[row["language"]] += np.frombuffer(row["counts"], "<i8")
     totals += SMOOTHING
-    return np.log(totals / totals.sum(axis=1, keepdims=True)).astype(np.float32)
+    shares = totals / totals.sum(axis=1, keepdims=True)
+    even = np.full(shares.shape[1], 1 / shares.shape[1])
+    other = (1 - EVEN_SHARE) * shares.mean(axis=0) + EVEN_SHARE * even if len(shares) else even
+    return np.vstack([np.log(shares), np.log(other) - MARGIN]).astype(np.float32)
 
 
 def _scorer(table: np.ndarray, carried: list[str], schema: pa.Schema):
@@ -113,23 +127,56 @@ def _scorer(table: np.ndarray, carried: list[str], schema: pa.Schema):
     return score
 
 
-def _softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    weights = F.transform(logs, lambda x: F.exp(x - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(weights, lambda x: x / total)
-
-
 def _counts_by(rows: DataFrame, key: str, n: int) -> DataFrame:
     """One row per key: array of document counts per language, by partial sums."""
     sums = [F.sum((F.col("text_language") == i).cast("double")).alias(f"c{i}") for i in range(n)]
     return rows.groupBy(key).agg(*sums).select(key, F.array(*[f"c{i}" for i in range(n)]).alias("counts"))
 
 
-def _add(a: Column, b: Column, weight: float) -> Column:
-    """(a + weight * b) / (sum(a) + weight), entry by entry; b sums to one."""
-    total = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) + weight
-    return F.transform(F.zip_with(a, b, lambda x, y: x + weight * y), lambda x: x / total)
+def _lists(batch: pa.RecordBatch, name: str, n: int) -> np.ndarray:
+    return batch[name].flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
+def _fuser(names: list[str], id_column: str, least: float):
+    """Posteriors of a batch from its text scores and the counts of its host, domain and values."""
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(names)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = batch["text_language"].to_numpy(zero_copy_only=False)
+            has = batch["n_grams"].to_numpy() > 0
+            at = np.where(has, np.nan_to_num(found.astype(float)), 0).astype(int)
+            others = _lists(batch, "host_counts", n).copy()
+            others[np.flatnonzero(has), at[has]] -= 1
+            prior = (others + PRIOR_ROWS * _lists(batch, "parent", n)) / (others.sum(axis=1) + PRIOR_ROWS)[:, None]
+            logs = _lists(batch, "scores", n) + np.log(prior) + _lists(batch, "declared_log", n) + _lists(batch, "suffix_log", n)
+            weights = np.exp(logs - logs.max(axis=1, keepdims=True))
+            posteriors = weights / weights.sum(axis=1, keepdims=True)
+            best, top = posteriors.argmax(axis=1), posteriors.max(axis=1)
+            rejected = ~has | (top < least) | (best == n - 1)
+            columns = [
+                batch[id_column], batch["text_key"],
+                pa.array(np.array(names, object)[best], pa.string(), mask=~has), pa.array(top, mask=~has),
+                pa.array(np.array(names, object)[at], pa.string(), mask=~has), batch["n_grams"],
+                pa.array(rejected), pa.array(list(posteriors), pa.list_(pa.float64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_column, "text_key", "language", "posterior", "text_language", "n_grams", "rejected", "posteriors"])
+
+    return fuse
+
+
+def declared_languages(docs: DataFrame, declared: str = "declared") -> tuple[str, ...]:
+    """The languages to model, by name: primary subtags that enough documents declare.
+
+    A table so small that none reaches ``LEAST_DOCS`` is modelled by all it declares.
+    """
+    value = F.lower(F.substring_index(F.substring_index(F.col(declared).cast("string"), "-", 1), "_", 1))
+    counts = docs.groupBy(value.alias("value")).count().where(F.col("value").rlike("^[a-z]{2,3}$"))
+    top = counts.orderBy(F.desc("count"), "value").limit(MAX_LANGUAGES).collect()
+    enough = [r["value"] for r in top if r["count"] >= LEAST_DOCS]
+    return tuple(sorted(enough or [r["value"] for r in top]))
 
 
 def identify(
@@ -139,17 +186,19 @@ def identify(
     host: str = "host",
     domain: str = "domain",
     id_column: str = "doc_id",
-    languages: tuple[str, ...] = LANGUAGES,
+    languages: tuple[str, ...] | None = None,
     least: float = LEAST_POSTERIOR,
 ) -> DataFrame:
     """One row per row of ``docs`` (id, text, declared, suffix, host, domain).
 
     Columns: the id, text_key, language (null without letters), posterior, text_language,
-    n_grams, rejected, posteriors (array in the order of ``languages``).
+    n_grams, rejected, posteriors (array in the order of ``languages`` and "other"). Without
+    ``languages`` they are those that the documents declare.
     """
     spark = docs.sparkSession
     space = workspace(spark, "language")
-    n = len(languages)
+    languages = languages if languages is not None else declared_languages(docs, declared)
+    n = len(languages) + 1
     rows = docs.select(
         F.col(id_column).alias(id_column),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
@@ -165,14 +214,16 @@ def identify(
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", scores array<double>, n_grams long"
     scored = rows.mapInArrow(_scorer(table, carried, [*carried, "scores", "n_grams"]), schema)
     best = F.when(F.col("n_grams") > 0, F.array_position("scores", F.array_max("scores")) - 1).cast("int")
-    rest = ("declared", "suffix", "host", "domain")
-    scored = scored.withColumn("text_language", best).fillna("", subset=[*rest])
+    scored = scored.withColumn("text_language", best)
+    scored = scored.withColumns({c: F.coalesce(c, F.lit("\0")) for c in ("declared", "suffix", "host", "domain")})  # a null is a value
     narrow = space.table("scored", scored)
 
     whole = narrow.agg(*[F.sum((F.col("text_language") == i).cast("long")).alias(f"c{i}") for i in range(n)]).first()
     shares = np.array([(whole[f"c{i}"] or 0) + SMOOTHING for i in range(n)], float)
-    everywhere = F.array(*[F.lit(float(x)) for x in shares / shares.sum()])
-    parents = _counts_by(narrow, "domain", n).withColumn("parent", _add(F.col("counts"), everywhere, PRIOR_ROWS)).select("domain", "parent")
+    whole_share = [float(x) for x in shares / shares.sum()]
+    total = F.aggregate("counts", F.lit(0.0), lambda s, x: s + x)
+    smoothed = [(F.element_at("counts", i + 1) + PRIOR_ROWS * w) / (total + PRIOR_ROWS) for i, w in enumerate(whole_share)]
+    parents = _counts_by(narrow, "domain", n).select("domain", F.array(*smoothed).alias("parent"))
     hosts = _counts_by(narrow, "host", n).withColumnRenamed("counts", "host_counts")
     totals = [float(x) for x in shares]
 
@@ -184,25 +235,9 @@ def identify(
     joined = narrow
     for right, key in ((hosts, "host"), (parents, "domain"), (given("declared"), "declared"), (given("suffix"), "suffix")):
         joined = joined.join(space.table(f"by-{key}", right), key)
-    own = F.array(*[(F.coalesce(F.col("text_language"), F.lit(-1)) == i).cast("double") for i in range(n)])
-    others = F.zip_with("host_counts", own, lambda x, y: x - y)
-    prior = F.transform(_add(others, F.col("parent"), PRIOR_ROWS), lambda x: F.log(x))
-    logs = F.col("scores")
-    for part in (prior, F.col("declared_log"), F.col("suffix_log")):
-        logs = F.zip_with(logs, part, lambda x, y: x + y)
-    names = F.array(*[F.lit(x) for x in languages])
-    out = joined.select(id_column, "text_key", "n_grams", "text_language", _softmax(logs).alias("posteriors"))
-    top = F.array_max("posteriors")
-    has = F.col("n_grams") > 0
-    return out.select(
-        id_column, "text_key",
-        F.when(has, F.element_at(names, F.array_position("posteriors", top).cast("int"))).alias("language"),
-        F.when(has, top).alias("posterior"),
-        F.when(has, F.element_at(names, F.col("text_language") + 1)).alias("text_language"),
-        "n_grams",
-        (~has | (top < least)).alias("rejected"),
-        "posteriors",
-    )
+    names = [*languages, OTHER]
+    out = f"`{id_column}` {kinds[id_column]}, text_key long, language string, posterior double, text_language string, n_grams long, rejected boolean, posteriors array<double>"
+    return joined.mapInArrow(_fuser(names, id_column, least), out)
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:

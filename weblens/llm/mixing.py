@@ -23,7 +23,7 @@ are taken with 0 words. An empty table gives an empty one.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weblens.llm.common import WORD, uniform, workspace
+from weblens.llm.common import WORD, as_row, uniform, workspace
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -156,9 +156,12 @@ def pareto_key(odds: Column, inclusion: Column) -> Column:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, weight: Column | None = None, seed: str = SEED, label: str = "mix") -> DataFrame:
     """``docs`` (doc_id, source, text, any others) with size, source_size, target, times and taken.
 
-    ``times`` is how often the mix takes the row, ``taken`` the words that makes.
+    ``times`` is how often the mix takes the row, ``taken`` the words that makes. A column of
+    ``docs`` with one of these names is replaced; ``weight`` is an expression of doc_id, source and text.
     """
-    drawn = draws(docs, weight, seed)
+    added = ["size", "source_size", "target", "times", "taken"]
+    kept = [c for c in docs.columns if c not in added]
+    drawn = draws(as_row(docs, "doc_id", "source", "text"), weight, seed)
     decided = plan(drawn, weights, cap, label).withColumnRenamed("source", "_source")
     joined = drawn.join(decided, F.col("source").eqNullSafe(F.col("_source")), "left")
     key = pareto_key(F.col("draw_odds"), F.col("inclusion"))
@@ -167,4 +170,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, wei
     extra = F.coalesce(partial & F.array_contains("extras", key), F.lit(False))
     times = F.least(F.col("copies") + F.when(below | extra, 1).otherwise(0), F.lit(cap)).cast("long")
     out = joined.withColumn("times", times).withColumn("taken", F.col("size") * times)
-    return out.drop("_source", "draw_odds", "copies", "inclusion", "next_key", "extras")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], *added)

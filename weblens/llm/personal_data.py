@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weblens.llm import char_lstm
 from weblens.llm.common import slices, workspace
@@ -206,13 +206,15 @@ def training_set(rows: list[tuple[int, str, list[tuple[int, int, int]]]], exampl
 
 def fit(docs: DataFrame, sample: int = SAMPLE, examples: int = EXAMPLES) -> char_lstm.Tagger:
     """Train on at most ``examples`` windows of each source from about ``sample`` documents."""
-    workspace(docs.sparkSession, "personal")
+    space = workspace(docs.sparkSession, "personal")
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(docs.count(), 1)) * (1 << 30))
     found = texts.where(share).select("text").mapInArrow(_examples, f"source int, window string, spans {SPAN}")
-    order = Window.partitionBy("source").orderBy(F.xxhash64("window"), "window")
-    few = found.dropDuplicates(["source", "window"]).withColumn("n", F.row_number().over(order)).where(F.col("n") <= examples)
-    drawn = [(r["source"], r["window"], [(s["kind"], s["start"], s["end"]) for s in r["spans"]]) for r in few.collect()]
+    found = space.table("examples", found.dropDuplicates(["source", "window"]))
+    drawn = []
+    for source in range(len(KINDS) + 2):  # a top list each, which no task collects whole
+        rows = found.where(F.col("source") == source).orderBy(F.xxhash64("window"), "window").limit(examples).collect()
+        drawn += [(r["source"], r["window"], [(s["kind"], s["start"], s["end"]) for s in r["spans"]]) for r in rows]
     windows, tags = training_set(sorted(drawn), examples)
     return char_lstm.train(windows, tags, len(KINDS), WIDTH)
 

@@ -63,7 +63,7 @@ def op7_hilbert_search(spark: SparkSession, d: str) -> DataFrame:
 
 def op8_byte_network(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     net = byte_network.fit(docs, table(spark, d, "labels"), ~held_out)
     scored = byte_network.score(docs, net)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

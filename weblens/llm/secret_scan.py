@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weblens.llm.common import emit, workspace
+from weblens.llm.common import as_row, emit, text_key, workspace
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -45,7 +45,9 @@ PARTS = {
 }
 PIECE = re.compile(r"[^/_+-]+")
 #: Words and numbers as in paths and names; random pieces of three characters or more are rarely so.
-WORDLIKE = re.compile(r"(?:[A-Z]?[a-z]{3,}|[A-Z]{3,})+[0-9]{0,3}|[0-9]{2,8}|v[0-9]{1,3}")
+#: Possessive over whole runs of one case, so that a piece is read once: runs of small letters have three or
+#: more, runs of capitals three or more, or one before small letters.
+WORDLIKE = re.compile(r"(?=[A-Za-z])(?:(?:[A-Z]{3,}+|[A-Z])?[a-z]{3,}+)*+(?:[A-Z]{3,}+)?[0-9]{0,3}|[0-9]{2,8}|v[0-9]{1,3}")
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE = 8
 
@@ -117,7 +119,8 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _left(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """What the united spans ``taken`` leave of a run."""
     at = max(bisect_right(taken, (start, end)) - 1, 0)
-    for s, e in itertools.islice(taken, at, None):
+    for i in range(at, len(taken)):
+        s, e = taken[i]
         if s >= end:
             break
         if start < s:
@@ -318,7 +321,7 @@ def scan(docs: DataFrame, q: float = 0.001) -> DataFrame:
     space = workspace(spark, "secrets")
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
+        text_key().alias("text_key"),
         F.col("text").cast("string").alias("text"),
     )
     found = space.table("found", texts.mapInArrow(_scan, f"doc_id long, text_key long, n_assign long, n_access long, n_hex long, base_sha256 string, base {SPAN}, found array<struct<start:int,end:int,token:string>>"))
@@ -359,39 +362,31 @@ def shown(spans: Column) -> Column:
     )
 
 
-def _masked(batches: Iterator[pa.RecordBatch], mark: str) -> Iterator[pa.RecordBatch]:
+def _masked(batches: Iterator[pa.RecordBatch], mark: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The documents (struct ``row``) with the spans of their texts marked."""
     for batch in batches:
-        texts = []
-        for value, spans in zip(batch["text"], batch["_spans"].to_pylist()):
-            text = value.as_py()
-            merged: list[list[int]] = []
-            for s in spans or []:
-                if merged and s["start"] < merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s["end"])
-                else:
-                    merged.append([s["start"], s["end"]])
-            for start, end in reversed(merged):
-                text = text[:start] + mark + text[end:]
-            texts.append(text)
-        i = batch.schema.get_field_index("text")
-        columns = [c for n, c in zip(batch.schema.names, batch.columns) if n != "_spans"]
-        columns[i] = pa.array(texts, batch.schema.field("text").type)
-        names = [n for n in batch.schema.names if n != "_spans"]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+        columns = batch["row"].flatten()
+        at = schema.get_field_index("text")
+        texts = columns[at].to_pylist()
+        for n, spans in enumerate(batch["spans"].to_pylist()):
+            for start, end in reversed(united([(s["start"], s["end"]) for s in spans or []])):
+                texts[n] = texts[n][:start] + mark + texts[n][end:]
+        columns[at] = pa.array(texts, columns[at].type)
+        yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
 
 def mask(docs: DataFrame, scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every found span of a text replaced by ``mark``; the columns stay.
+    """``docs`` with every found span of a text replaced by ``mark``; the columns stay, whatever their names.
 
     Texts with spans are few: their (doc_id, digest) keys are written first, so a
     short list joins by broadcast and a long one by shuffle. Overlapping spans
     become one mark. ``n_chars``, where present, follows the new text.
     """
     space = workspace(docs.sparkSession, "mask")
-    keys = scanned.where(F.size("all_spans") > 0).groupBy("doc_id", "text_key").agg(F.first("all_spans").alias("_spans"))
-    hits = space.table("hits", keys).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_hit"), "_spans")
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hit")), "left")
-    joined = joined.select(*docs.columns, "_spans")
-    out = joined.mapInArrow(lambda it: _masked(it, mark), docs.schema)
+    keys = scanned.where(F.size("all_spans") > 0).groupBy("doc_id", "text_key").agg(F.first("all_spans").alias("spans"))
+    hits = space.table("hits", keys).select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"), "spans")
+    rows = as_row(docs, F.col("doc_id").alias("id"), text_key().alias("key"))
+    joined = rows.join(hits, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key")), "left").select("row", "spans")
+    schema = pa.schema([(c, pa.null()) for c in docs.columns])
+    out = joined.mapInArrow(lambda it: _masked(it, mark, schema), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -11,7 +11,9 @@ held whole. Each piece must be as long as its Content-Length says; a payload tha
 itself holds the separator is put together from the next pieces, and anything else
 fails the job. Continuations are grouped by the record they continue, ordered by
 segment number, checked against the stated total length, and the chunked framing is
-decoded. Digests are computed from the decoded payload and must equal those declared.
+decoded. Digests are computed from the decoded payload and must equal those declared. A
+record whose first, last or any other segment is lost fails the job, naming its origin.
+Records of other kinds than response and revisit are passed over.
 
 A null payload is an empty one. A null id is written as empty, reads back as null, and
 is never the smallest while another id is there. Rows that repeat both id and payload
@@ -24,11 +26,13 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weblens.llm.common import emit, slices, workspace
+from weblens.shipping import ship_package
 
 VERSION = "WARC/1.1"
 SEPARATOR = f"\r\n\r\n{VERSION}\r\n"
@@ -60,17 +64,33 @@ def _header(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
-def records(page_id, url: str | None, payload: bytes, first_id, digest: str, segment_bytes: int) -> list[bytes]:
-    """The records of one row, each from its first header line to its block's end."""
-    address = re.sub(r"[\s\x00-\x1f]", lambda m: "".join(f"%{b:02X}" for b in m.group().encode()), url or "urn:none")
-    name = f"<urn:uuid:{uuid.uuid4()}>"
-    common = [("WARC-Target-URI", address), ("X-Page-ID", page_id), ("WARC-Payload-Digest", f"sha1:{digest}")]
-    if first_id is not None and first_id != page_id:
+def _address(url: str | None) -> str:
+    return re.sub(r"[\s\x00-\x1f]", lambda m: "".join(f"%{b:02X}" for b in m.group().encode()), url or "urn:none")
+
+
+def _name(page_id, digest: str) -> str:
+    """Record ID of the response that revisits refer to; its row is the only one of that id and payload."""
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}').urn}>"
+
+
+def records(page_id, url: str | None, payload: bytes, first, digest: str, date: str, segment_bytes: int) -> list[bytes]:
+    """The records of one row, each from its first header line to its block's end.
+
+    ``first`` is the response of equal payloads, if there are any: its page_id, url and
+    number of rows.
+    """
+    address, kind = _address(url), ("Content-Type", "application/http; msgtype=response")
+    fresh = f"<{uuid.uuid4().urn}>"
+    common = [("WARC-Date", date), ("WARC-Target-URI", address), ("X-Page-ID", page_id), ("WARC-Payload-Digest", f"sha1:{digest}"), kind]
+    if first is not None and first["page_id"] != page_id:
         fields = [
-            ("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, ("X-Refers-To-Page-ID", first_id),
+            ("WARC-Type", "revisit"), ("WARC-Record-ID", fresh), *common, ("X-Refers-To-Page-ID", first["page_id"]),
+            ("WARC-Refers-To", _name(first["page_id"], digest) if first["rows"] == 1 else None),
+            ("WARC-Refers-To-Target-URI", _address(first["url"])), ("WARC-Refers-To-Date", date),
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
         ]
         return [_header(fields, _REVISIT)]
+    name = _name(page_id, digest) if first is not None and first["rows"] == 1 else fresh
     block = _HTTP + chunked(payload)
     if len(block) <= segment_bytes:
         return [_header([("WARC-Type", "response"), ("WARC-Record-ID", name), *common], block)]
@@ -78,7 +98,7 @@ def records(page_id, url: str | None, payload: bytes, first_id, digest: str, seg
     out = [_header([("WARC-Type", "response"), ("WARC-Record-ID", name), *common, ("WARC-Segment-Number", 1)], parts[0])]
     for number, part in enumerate(parts[1:], 2):
         fields = [
-            ("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Target-URI", address),
+            ("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{uuid.uuid4().urn}>"), ("WARC-Date", date), ("WARC-Target-URI", address),
             ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", number),
             ("WARC-Segment-Total-Length", len(block) if number == len(parts) else None),
         ]
@@ -90,35 +110,42 @@ def base32_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _writer(segment_bytes: int):
+def _writer(date: str, segment_bytes: int):
     schema = pa.schema([("record", pa.binary())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opening = f"{VERSION}\r\n".encode()
         for batch in slices(batches, "payload", 4 << 20):
             rows = []
-            for page_id, url, payload, first_id in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["payload"], batch["first_id"].to_pylist()):
+            for page_id, url, payload, first in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["payload"], batch["first"].to_pylist()):
                 body = payload.as_buffer().to_pybytes()
-                for record in records(page_id, url, body, first_id, base32_digest(body), segment_bytes):
+                for record in records(page_id, url, body, first, base32_digest(body), date, segment_bytes):
                     rows.append((opening + record,))
             yield emit(rows, schema)
 
     return write
 
 
-def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, min_revisit: int = MIN_REVISIT) -> None:
-    """Archives of ``pages`` (page_id, url, payload as binary) in the new folder ``path``."""
+def write_archives(
+    pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, min_revisit: int = MIN_REVISIT, date: str | None = None
+) -> None:
+    """Archives of ``pages`` (page_id, url, payload as binary) in the new folder ``path``.
+
+    ``date`` is every record's WARC-Date, the present moment by default.
+    """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce("payload", F.lit(b"")).alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
-    groups = rows.select("digest", "page_id", F.length("payload").alias("size")).groupBy("digest", "size")
-    firsts = groups.agg(F.min("page_id").alias("least"), F.count("*").alias("copies")).where(
-        (F.col("copies") > 1) & (F.col("size") >= min_revisit)
-    )
-    firsts = workspace(pages.sparkSession, "warc-firsts").table("firsts", firsts.select("digest", F.col("least").alias("first_id")))
-    joined = rows.join(firsts, "digest", "left").select("page_id", "url", "payload", "first_id")
-    made = joined.mapInArrow(_writer(segment_bytes), "record binary")
+    narrow = rows.select("digest", "page_id", "url", F.length("payload").alias("size")).groupBy("digest", "size", "page_id")
+    by_id = narrow.agg(F.count("*").alias("rows"), F.min("url").alias("url"))
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "rows")))
+    firsts = by_id.groupBy("digest", "size").agg(least.alias("first"), F.sum("rows").alias("copies"))
+    firsts = firsts.where((F.col("copies") > 1) & (F.col("size") >= min_revisit)).select("digest", "first")
+    firsts = workspace(pages.sparkSession, "warc-firsts").table("firsts", firsts)
+    joined = rows.join(firsts, "digest", "left").select("page_id", "url", "payload", "first")
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    made = joined.mapInArrow(_writer(date, segment_bytes), "record binary")
     made.select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(path)
 
 
@@ -194,6 +221,8 @@ def dechunk(data: bytes) -> bytes:
         end = data.index(b"\r\n", at)
         size = int(data[at:end].split(b";")[0], 16)
         if size == 0:
+            if not data[end:].endswith(b"\r\n\r\n"):  # the last chunk's line, perhaps trailers, and an empty line
+                raise ValueError("chunked body without an end")
             return b"".join(out)
         out.append(data[end + 2 : end + 2 + size])
         if len(out[-1]) < size or data[end + 2 + size : end + 4 + size] != b"\r\n":
@@ -232,6 +261,8 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for r in batch.slice(start, 64).to_pylist():
                 payload = None
+                if r["kind"] is None:
+                    raise ValueError(f"{r['origin']}: the first segment is missing")
                 if r["kind"] == "response":
                     payload = http_payload(assemble([(p["segment"], p["total"], p["block"]) for p in r["parts"]]))
                     if r["digest"] not in (None, base32_digest(payload)):
@@ -242,16 +273,18 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per response or revisit record: kind, page_id, url, digest, refers_to, n_segments, payload."""
+    ship_package()
     pieces = spark.read.option("lineSep", SEPARATOR).text(path).select(F.col("value").cast("binary").alias("value"))
     schema = "origin string, kind string, page_id long, url string, digest string, refers_to long, segment int, total long, block binary"
     parsed = pieces.mapInArrow(_parse, schema)
     part = F.struct("segment", "total", "block").alias("part")
     # Whole records need no shuffle of their blocks; only the segments of a record meet.
     fields = ("kind", "page_id", "url", "digest", "refers_to")
-    whole = parsed.where("segment is null").select(*fields, F.array(part).alias("parts"))
-    first = F.when(F.col("kind") == "response", F.struct(*fields))
+    kept = F.col("kind").isNull() | F.col("kind").isin("response", "revisit")
+    whole = parsed.where("segment is null").where(kept).select("origin", *fields, F.array(part).alias("parts"))
+    first = F.when((F.col("segment") == 1) & (F.col("kind") != "continuation"), F.struct(*fields))
     segments = parsed.where("segment is not null").groupBy("origin").agg(F.max(first).alias("f"), F.collect_list(part).alias("parts"))
-    joined = whole.union(segments.select("f.kind", "f.page_id", "f.url", "f.digest", "f.refers_to", "parts"))
+    joined = whole.union(segments.select("origin", *[f"f.{c}" for c in fields], "parts").where(kept))
     out = "kind string, page_id long, url string, digest string, refers_to long, n_segments int, payload binary"
     return joined.mapInArrow(_decode, out)
 
