@@ -112,6 +112,11 @@ def _shown(results: DataFrame) -> DataFrame:
     return results.select(*PAGE_RESULT_COLUMNS).withColumn("crawled_at", F.expr(rfc3339("crawled_at")))
 
 
+def _entries(tags: str) -> str:
+    """Every entry of a map as text, by name."""
+    return f"array_join(transform(array_sort(map_entries({tags})), e -> concat(e.key, '=', e.value)), '\\n')"
+
+
 def _micros(name: str):
     return F.unix_micros(name).alias(f"{name}_us")
 
@@ -423,7 +428,8 @@ def page_profile(spark, d):
         F.col("meta_tags")["description"].alias("description"),
         F.col("meta_tags")["og:type"].alias("og_type"),
         F.coalesce(F.size("meta_tags"), F.lit(0)).cast("bigint").alias("meta_count"),
-        F.col("json_data")[0].alias("json_data"),
+        F.expr(_entries("meta_tags")).alias("meta"),
+        F.array_join("json_data", "\n").alias("json_data"),
     )
 
 
@@ -721,6 +727,7 @@ def extract_structured(spark, d):
         "array_join(data.links, '\\n') as links",
         "data.meta_tags['description'] as description",
         "cast(size(data.meta_tags) as bigint) as meta_count",
+        f"{_entries('data.meta_tags')} as meta",
         "array_join(data.images, '\\n') as images",
         "array_join(data.scripts, '\\n') as scripts",
         "array_join(data.stylesheets, '\\n') as stylesheets",
@@ -743,6 +750,19 @@ def extract_by_selector(spark, d):
     return navigation.extract_by_selector(_px(spark, d), "nav a, footer a")
 
 
+@query
+def extract_by_selectors(spark, d):
+    return navigation.extract_by_selectors(
+        _px(spark, d),
+        {
+            "first": "nav ul > li:first-child > a",
+            "later": "nav li + li a",
+            "secure": "footer a[href^='https:']",
+            "plain": "footer a:not([style], [class])",
+        },
+    )
+
+
 # --- pipeline and graph ---------------------------------------------------
 
 

@@ -215,11 +215,13 @@ ORACLES: dict[str, str] = {
       WHERE status_code <> 200""",
     "page_profile": with_(PX, CR, META, JSONLD)
     + """SELECT cr.url, cr.status_code, d.content AS description, o.content AS og_type,
-        coalesce(c.n, 0) AS meta_count, j.json_data
+        coalesce(c.n, 0) AS meta_count, c.meta, j.json_data
       FROM cr LEFT JOIN meta d ON d.url = cr.url AND d.name = 'description'
       LEFT JOIN meta o ON o.url = cr.url AND o.name = 'og:type'
-      LEFT JOIN (SELECT url, count(*) AS n FROM meta GROUP BY url) c ON c.url = cr.url
-      LEFT JOIN jsonld j ON j.url = cr.url""",
+      LEFT JOIN (SELECT url, count(*) AS n, string_agg(concat(name, '=', content), chr(10) ORDER BY name) AS meta
+        FROM meta GROUP BY url) c ON c.url = cr.url
+      LEFT JOIN (SELECT url, string_agg(DISTINCT json_data, chr(10) ORDER BY json_data) AS json_data
+        FROM jsonld GROUP BY url) j ON j.url = cr.url""",
     "pending_urls": with_(G)
     + f"""SELECT url FROM ({GRAPH_TARGETS})
       WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 4 <> 0)""",
@@ -352,7 +354,7 @@ ORACLES: dict[str, str] = {
       FROM px WHERE contains(html, 'application/ld+json')""",
     "extract_structured": with_(PX, META, JSONLD, normalized(anchors("px")))
     + f"""SELECT px.page_id, {TITLE} AS title, coalesce(l.links, '') AS links,
-        d.content AS description, coalesce(c.n, 0) AS meta_count,
+        d.content AS description, coalesce(c.n, 0) AS meta_count, coalesce(c.meta, '') AS meta,
         concat({ORIGIN.format('px.url')}, '/i.png') AS images,
         concat({ORIGIN.format('px.url')}, '/a.js') AS scripts,
         concat({ORIGIN.format('px.url')}, '/s.css') AS stylesheets,
@@ -362,8 +364,9 @@ ORACLES: dict[str, str] = {
                  FROM (SELECT page_id, link, min(pos) AS first_pos FROM norm GROUP BY page_id, link)
                  GROUP BY page_id) l ON l.page_id = px.page_id
       LEFT JOIN meta d ON d.url = px.url AND d.name = 'description'
-      LEFT JOIN (SELECT url, count(*) AS n FROM meta GROUP BY url) c ON c.url = px.url
-      LEFT JOIN jsonld j ON j.url = px.url""",
+      LEFT JOIN (SELECT url, count(*) AS n, string_agg(concat(name, '=', content), chr(10) ORDER BY name) AS meta
+        FROM meta GROUP BY url) c ON c.url = px.url
+      LEFT JOIN (SELECT url, string_agg(json_data, chr(10)) AS json_data FROM jsonld GROUP BY url) j ON j.url = px.url""",
     "weighted_links": with_(WL_LINKS)
     + """SELECT page_id, pos, href, link AS url, anchor_text, round(weight, 6) AS weight,
       depth < 10 AS is_above_fold, in_nav, in_footer, in_main, depth, is_visible FROM wl_norm""",
@@ -457,3 +460,10 @@ ORACLES["stream_progress_totals"] = with_(FL) + f"""SELECT {rfc3339('w')} AS win
   FROM (SELECT time_bucket(INTERVAL 5 SECOND, ts) AS w, count(*) AS a,
           count(*) FILTER (WHERE status_code = 200) AS p,
           count(*) FILTER (WHERE failed) AS e FROM fl GROUP BY 1)"""
+ORACLES["extract_by_selectors"] = with_(WL) + """SELECT page_id, name,
+    CAST(row_number() OVER (PARTITION BY page_id, name ORDER BY pos) - 1 AS INTEGER) AS pos, anchor_text AS text
+  FROM (SELECT *, row_number() OVER (PARTITION BY page_id, in_nav ORDER BY pos) AS n FROM wl) w,
+    LATERAL (SELECT unnest(['first', 'later', 'secure', 'plain']) AS name)
+  WHERE CASE name WHEN 'first' THEN in_nav AND n = 1 WHEN 'later' THEN in_nav AND n > 1
+    WHEN 'secure' THEN in_footer AND starts_with(href, 'https:')
+    ELSE in_footer AND style = '' AND class = '' END"""

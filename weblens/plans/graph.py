@@ -14,6 +14,7 @@ for each slice, which learn the hub's depth by messages like any other cell.
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -229,13 +230,17 @@ def _traverse(spark: SparkSession, space: Workspace, cells: DataFrame, nodes: Da
     first.mapInPandas(_first_messages, _MAIL).write.partitionBy("kind").parquet(space.file("turn-0"))
     held: list[str] = []  # folders with the states of the cells
     turn = 0
+
+    def states() -> DataFrame:
+        every = [reader.parquet(space.file(f)).where(F.col("kind") == _STATE) for f in held]
+        return reduce(DataFrame.union, every) if every else reader.parquet(space.file("turn-0")).limit(0)
+
     while True:
         mail = reader.parquet(space.file(f"turn-{turn}")).where(F.col("kind") == _MESSAGE)
         listed = [r["cell"] for r in mail.select("cell").distinct().limit(_ACTIVE_LISTED + 1).collect()]
         if not listed:
             break
-        known = reader.parquet(*[space.file(f) for f in held]).where(F.col("kind") == _STATE) if held else mail.limit(0)
-        some = cells
+        known, some = states(), cells
         if len(listed) <= _ACTIVE_LISTED:
             known, some = (frame.where(F.col("cell").isin(listed)) for frame in (known, cells))
         else:
@@ -246,11 +251,9 @@ def _traverse(spark: SparkSession, space: Workspace, cells: DataFrame, nodes: Da
         done.write.partitionBy("kind").parquet(space.file(f"turn-{turn}"))
         held.append(f"turn-{turn}")
         if len(held) > _MERGE_ROUNDS:
-            states = reader.parquet(*[space.file(f) for f in held]).where(F.col("kind") == _STATE)
-            _newest(states).write.partitionBy("kind").parquet(space.file(f"merged-{turn}"))
+            _newest(states()).write.partitionBy("kind").parquet(space.file(f"merged-{turn}"))
             held = [f"merged-{turn}"]
-    states = reader.parquet(*[space.file(f) for f in held]).where(F.col("kind") == _STATE) if held else mail.limit(0)
-    offers = cells.groupBy("cell").cogroup(_newest(states).groupBy("cell")).applyInPandas(_offers(limit), "t_cell long, t_idx int, depth int, s_cell long, s_idx int")
+    offers = cells.groupBy("cell").cogroup(_newest(states()).groupBy("cell")).applyInPandas(_offers(limit), "t_cell long, t_idx int, depth int, s_cell long, s_idx int")
     source = nodes.select(F.col("cell").alias("s_cell"), F.col("idx").alias("s_idx"), F.col("url").alias("parent_url"))
     found = offers.join(source, ["s_cell", "s_idx"]).select(F.col("t_cell").alias("cell"), F.col("t_idx").alias("idx"), "depth", "parent_url")
     found = found.unionByName(starts.select("cell", "idx", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url")))

@@ -90,7 +90,8 @@ class PageStore:
 
     def new_urls(self, candidates: DataFrame) -> DataFrame:
         """Distinct candidate URLs that the store does not hold; only the candidates are shuffled."""
-        return candidates.select("url").distinct().join(self.log().select("url"), "url", "left_anti")
+        placed = candidates.select("url").repartition(self.buckets, "url").distinct()
+        return placed.join(self.log().select("url"), "url", "left_anti")
 
     def compact(self) -> None:
         """Fold all batches into the last one."""
@@ -104,5 +105,7 @@ class PageStore:
         for (name,) in self.spark.sql(f"SHOW PARTITIONS {self.table}").collect():
             number = int(name.split("=")[1])
             if number < last:
-                self.spark.sql(f"INSERT OVERWRITE TABLE {self.table} PARTITION (batch_seq = {number}) SELECT {', '.join(PAGE_RESULT_COLUMNS)} FROM {self.table} WHERE false")
+                # Dropping a partition of an external table leaves its files, so it is emptied first.
+                none = self.spark.createDataFrame([], PAGE_RESULT)
+                self.spark.sql(f"INSERT OVERWRITE TABLE {self.table} PARTITION (batch_seq = {number}) SELECT * FROM {{none}}", none=none)
                 self.spark.sql(f"ALTER TABLE {self.table} DROP PARTITION (batch_seq = {number})")
