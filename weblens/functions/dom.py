@@ -72,7 +72,7 @@ class Node:
     around: Link | None = None
     #: What a selector keeps of the element.
     facts: object = None
-    matched: int = 0
+    matched: object = None
 
     @property
     def ancestors(self) -> list["Node"]:
@@ -131,7 +131,7 @@ def select(page: str, wanted) -> list[Node]:
         nonlocal pushed
         pushed += 1
         node.serial, node.around = pushed, stack[-1].link
-        node.matched = int(wanted(node, stack) or 0)
+        node.matched = wanted(node, stack)
         if node.matched:
             node.text = []
             selected.append(node)
