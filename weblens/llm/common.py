@@ -1,5 +1,8 @@
 """What the operators of this folder share: tables, draws and batches."""
 
+import ctypes
+import functools
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +33,28 @@ def workspace(spark: SparkSession, label: str) -> Workspace:
     return Workspace(spark, label)
 
 
+def released(run):
+    """A task's function that gives its memory back to the system at its end.
+
+    Python workers live on for the stages that follow, and without this each keeps the most
+    that any of them held: tables in reference cycles, Arrow's pools, the heap's free lists.
+    """
+
+    @functools.wraps(run)
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # a C library without it
+                pass
+
+    return held
+
+
 def uniform(*keys: Column, seed: str) -> Column:
     """A repeatable draw in (0, 1) from 52 bits of an md5 of the keys and the seed."""
     text = F.concat_ws("|", F.lit(seed), *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])

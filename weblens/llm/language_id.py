@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weblens.llm.common import emit, workspace
+from weblens.llm.common import emit, released, workspace
 
 OTHER = "other"
 LEAST_DOCS = 20  # documents that declare a language, for it to be modelled
@@ -67,6 +67,7 @@ def _bytes(value) -> np.ndarray:
 
 
 def _counter(languages: tuple[str, ...]):
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((len(languages), 1 << BUCKET_BITS), np.int64)
         for batch in batches:
@@ -110,6 +111,7 @@ def _likelihoods(docs: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
 def _scorer(table: np.ndarray, carried: list[str], schema: pa.Schema):
     turned = np.ascontiguousarray(table.T)
 
+    @released
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, lengths = [], []
@@ -140,6 +142,7 @@ def _lists(batch: pa.RecordBatch, name: str, n: int) -> np.ndarray:
 def _fuser(names: list[str], id_column: str, least: float):
     """Posteriors of a batch from its text scores and the counts of its host, domain and values."""
 
+    @released
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(names)
         for batch in batches:

@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weblens.llm.common import gathered, workspace
+from weblens.llm.common import gathered, released, workspace
 from weblens.llm.tokens import WordTokenizer
 
 CAPACITY = 2048
@@ -34,9 +34,10 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 
 
 def _pieces(path: str, capacity: int):
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, salt = WordTokenizer(path), 0
-        for batch in gathered(batches, 6 << 20):
+        for batch in gathered(batches, 2 << 20):
             ids, offsets = tokenizer.texts(batch["text"])
             ids = ids.astype("<u4")
             docs = batch["doc_id"].to_pylist()

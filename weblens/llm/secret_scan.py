@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weblens.llm.common import as_row, emit, text_key, workspace
+from weblens.llm.common import as_row, emit, released, text_key, workspace
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -157,6 +157,7 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
+@released
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
@@ -268,6 +269,7 @@ TESTED = pa.schema(
 
 
 def _tester(letters: dict[str, float]):
+    @released
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tested = []

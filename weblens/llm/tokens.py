@@ -20,7 +20,7 @@ _END = "</w>"
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words left to the library: controls, other blanks, and characters past Latin.
 _UNUSUAL = r"[\x00-\x1F\x7F-\xA0\xAD]|[^\x00-\x{24F}]|<\|"
-_LIMIT = 1 << 19  # pieces kept from one chunk of texts to the next
+_LIMIT = 1 << 17  # pieces kept from one chunk of texts to the next
 
 
 def _byte_names() -> dict[str, int]:
