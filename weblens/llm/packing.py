@@ -37,7 +37,7 @@ def _pieces(path: str, capacity: int):
     @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, salt = WordTokenizer(path), 0
-        for batch in gathered(batches, 2 << 20):
+        for batch in gathered(batches, 4 << 20):
             ids, offsets = tokenizer.texts(batch["text"])
             ids = ids.astype("<u4")
             docs = batch["doc_id"].to_pylist()
