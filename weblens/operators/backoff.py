@@ -159,7 +159,7 @@ def _walk(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(fails=fails, until=until).drop(columns=["chunk", "kind"])
 
 
-def host_backoff(log: DataFrame, chunk_seconds: int = 300) -> DataFrame:
+def host_backoff(log: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
     """``log`` with the host's ``fails`` and ``backoff_until`` after each attempt.
 
     Attempts count in order of ts, url, attempt. Rows without host or time stay, with null
