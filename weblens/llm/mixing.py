@@ -150,7 +150,8 @@ def _in(rows: DataFrame, found: DataFrame, by: str) -> DataFrame:
 
 
 def pareto_key(odds: Column, inclusion: Column) -> Column:
-    return odds / (inclusion / (F.lit(1.0) - inclusion))
+    """Null where the inclusion is 0 or 1: such rows are not drawn."""
+    return F.try_divide(odds, F.try_divide(inclusion, F.lit(1.0) - inclusion))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, weight: Column | None = None, seed: str = SEED, label: str = "mix") -> DataFrame:
