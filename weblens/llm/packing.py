@@ -23,35 +23,40 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weblens.llm.common import gathered, released, workspace
+from weblens.llm.common import gathered, released, slices, workspace
 from weblens.llm.tokens import WordTokenizer
 
 CAPACITY = 2048
 GROUP = 8192
+#: Bytes of texts tokenized at a time: word tables and ids of a chunk are many times as large.
+CHUNK_BYTES = 1 << 19
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+def _rows(tokenizer: WordTokenizer, batch: pa.RecordBatch, capacity: int, salt: int) -> pa.RecordBatch:
+    """The pieces of a batch of documents; their salts count on from ``salt``."""
+    ids, offsets = tokenizer.texts(batch["text"])
+    rows: list[tuple] = []
+    for doc, a, b in zip(batch["doc_id"].to_pylist(), offsets[:-1], offsets[1:]):
+        own = np.append(ids[a:b], 0).astype("<u4")
+        for number, start in enumerate(range(0, len(own), capacity)):
+            part = own[start : start + capacity]
+            rows.append((doc, number, start, len(part), zlib.crc32(part.tobytes()), salt + len(rows)))
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+
 def _pieces(path: str, capacity: int):
     @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, salt = WordTokenizer(path), 0
-        for batch in gathered(batches, 4 << 20):
-            ids, offsets = tokenizer.texts(batch["text"])
-            ids = ids.astype("<u4")
-            docs = batch["doc_id"].to_pylist()
-            rows: list[tuple] = []
-            for doc, a, b in zip(docs, offsets[:-1], offsets[1:]):
-                own = np.append(ids[a:b], np.uint32(0)).astype("<u4")
-                for number, start in enumerate(range(0, len(own), capacity)):
-                    part = own[start : start + capacity]
-                    rows.append((doc, number, start, len(part), zlib.crc32(part.tobytes()), salt))
-                    salt += 1
-            columns = list(zip(*rows))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            names = [c.split()[0] for c in PIECES.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        for batch in gathered(slices(batches, "text", CHUNK_BYTES), CHUNK_BYTES):
+            cut_up = _rows(tokenizer, batch, capacity, salt)
+            salt += cut_up.num_rows
+            yield cut_up
 
     return cut
 

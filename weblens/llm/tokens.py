@@ -20,7 +20,8 @@ _END = "</w>"
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words left to the library: controls, other blanks, and characters past Latin.
 _UNUSUAL = r"[\x00-\x1F\x7F-\xA0\xAD]|[^\x00-\x{24F}]|<\|"
-_LIMIT = 1 << 19  # pieces kept from one chunk of texts to the next
+_LIMIT = 1 << 17  # pieces kept from one chunk of texts to the next
+_SLICE = 1 << 14  # distinct words split and encoded at a time
 
 
 def _byte_names() -> dict[str, int]:
@@ -93,25 +94,37 @@ class WordTokenizer:
         offsets = np.concatenate([[0], until[breaks - np.arange(len(breaks))]])
         return ids, offsets
 
+    @staticmethod
+    def _coded(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """(word number of each place, distinct words, where each text ends); what lies between is freed on return."""
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        column = pc.replace_substring(column, "\n", " ")
+        lists = pc.split_pattern(column, " ")
+        del column
+        ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        return coded.indices.to_numpy(), coded.dictionary, ends
+
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, offsets) of a column of texts; null counts as empty."""
-        filled = pc.fill_null(column.cast(pa.large_string()), "")
-        lists = pc.split_pattern(pc.replace_substring(filled, "\n", " "), " ")
-        coded = lists.flatten().dictionary_encode()
-        index, names = coded.indices.to_numpy(), coded.dictionary
+        index, names, ends = self._coded(column)
         odd = pc.match_substring_regex(names, _UNUSUAL).to_numpy(zero_copy_only=False)
-        ids, offsets = self.words(names.filter(pa.array(~odd)).to_pylist())
-        tables, lengths = [ids], np.zeros(len(names), np.int64)
+        plain = names.filter(pa.array(~odd))
+        tables, lengths = [], np.zeros(len(names), np.int64)
         starts = np.zeros(len(names), np.int64)
-        lengths[~odd], starts[~odd] = np.diff(offsets), offsets[:-1]
-        size = len(ids)
+        places, size = np.flatnonzero(~odd), 0
+        for at in range(0, len(plain), _SLICE):
+            ids, offsets = self.words(plain.slice(at, _SLICE).to_pylist())
+            own = places[at : at + _SLICE]
+            lengths[own], starts[own] = np.diff(offsets), size + offsets[:-1]
+            tables.append(ids)
+            size += len(ids)
         for at in np.flatnonzero(odd):
             own = self.library.encode(names[int(at)].as_py(), add_special_tokens=False).ids
             tables.append(np.array(own, np.int32))
             starts[at], lengths[at] = size, len(own)
             size += len(own)
-        table = np.concatenate(tables)
-        ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        table = np.concatenate([np.zeros(0, np.int32), *tables])
         each = lengths[index]
         until = np.concatenate([[0], np.cumsum(each)])
         return table[spread(starts[index], each)], until[ends]
@@ -121,4 +134,6 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of every range, one after another."""
     total = int(lengths.sum())
     before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(total)
+    out = np.repeat(starts - before, lengths)
+    out += np.arange(total)
+    return out
