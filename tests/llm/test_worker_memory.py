@@ -1,6 +1,7 @@
 """Tokenizing for packing: few texts at a time, with the library's ids."""
 
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -50,3 +51,36 @@ def test_chunks_and_slices_change_no_ids(monkeypatch):
     rows = [r for b in packing._pieces(PATH, 64)(batches(texts, 9)) for r in b.to_pylist()]
     assert [tuple(r.values())[:5] for r in rows] == want
     assert [r["salt"] for r in rows] == list(range(len(rows)))
+
+
+def test_known_words_are_not_cut_again():
+    """A second pass over the same words makes no call for each of them."""
+    tokenizer = tokens.WordTokenizer(PATH)
+    column = pa.array(some_texts(20, 400, 7), pa.string())
+    first, calls = tokenizer.texts(column), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        again = tokenizer.texts(column)
+    finally:
+        sys.setprofile(None)
+    assert all((a == b).all() for a, b in zip(first, again))
+    assert calls < 2000, calls  # for 8,000 distinct words
+
+
+def test_ids_of_marks_and_letters_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    library, draw = Tokenizer.from_file(PATH), random.Random(9)
+    signs = [chr(c) for c in range(0x21, 0x250) if not 0x7F <= c <= 0xA0 and c != 0xAD]
+    parts = ["'s", "'t", "'RE", "'ve", "'m", "'LL", "'d", "'r", "'l", "'v", "'", "''", "a", "re", "12", "İ", "Ⱥ", "½", "²", "-", '"', "don", *signs]
+    words = ["'", "'s", "''s", "!'s", "'s's", "1's", "'really", "'story", "don't've", "x'", "x'r", "x're", "x'l", "İ", "Iİ's", "ȺȾ'd"]
+    words += signs + [a + "'" + b for a in ("x", "7", "!", "é") for b in ("s", "st", "re", "r", "vex", "llé", "d1", "é")]
+    words += ["".join(draw.choices(parts, k=draw.randint(1, 8))) for _ in range(4000)]
+    ids, offsets = tokens.WordTokenizer(PATH).texts(pa.array(words, pa.string()))
+    for word, a, b in zip(words, offsets, offsets[1:], strict=False):
+        assert ids[a:b].tolist() == library.encode(word, add_special_tokens=False).ids, word
