@@ -329,3 +329,17 @@ def test_other_languages_are_not_modelled(spark):
     out = {r.doc_id: r for r in language_id.identify(table).collect()}
     assert out[501].rejected and out[501].language == "other"
     assert all(out[i].language == lang and not out[i].rejected for i, _, lang in rows[:120])
+
+
+def test_small_corpora_keep_what_their_documents_declare(spark):
+    """Texts with trigrams of no declared text are "other"; those of a language too rare to model stay as they were."""
+    draw = random.Random(4)
+    words = {"en": "the cat is in house with one flower and of to walk".split(), "fr": "le chat est dans la maison avec une fleur et de aller".split(), "es": "el perro corre por calle con nuestra hija hacia donde".split()}
+    rows = [(n, " ".join(draw.choice(words[lang]) for _ in range(60)), lang) for n, lang in enumerate(["en", "fr"] * 30 + ["es"] * 3)]
+    rows += [(500, "Все счастливые семьи похожи друг на друга", None), (501, "Все счастливые семьи похожи друг на друга", ""), (502, "the cat is in one house", None), (503, None, None)]
+    table = spark.createDataFrame([(i, t, lang, None, None, None) for i, t, lang in rows], "doc_id long, text string, declared string, suffix string, host string, domain string")
+    out = {r.doc_id: r for r in language_id.identify(table).collect()}
+    assert [out[i].language for i in (500, 501, 502)] == ["other", "other", "en"]
+    assert {i for i, r in out.items() if r.rejected} == {500, 501, 503}
+    none = language_id.identify(table.where("doc_id >= 500")).collect()
+    assert len(none) == 4 and all(r.rejected for r in none)

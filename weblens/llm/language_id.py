@@ -15,7 +15,9 @@ grouped count, the most frequent ``MAX_LANGUAGES`` of them. Any other text is fo
 "other": the mean of all languages' trigrams, and a small share spread evenly over all
 trigrams, less ``MARGIN``. A text of a modelled language is likelier under its own model than
 under their mean, one in several of them not much less likely; both stay. One of no modelled
-language is far less likely under any of them. "other" takes part in all evidence like a language.
+language is far less likely under any of them. Smoothing hides that in a small corpus, so a trigram
+of no text that declares a language speaks for "other" by ``MARGIN`` at least. "other" takes
+part in all evidence like a language.
 
 The posterior is the normalised product. A document is rejected when it has no
 letters, when "other" is the best, or when the best language stays below ``least`` posterior.
@@ -69,13 +71,14 @@ def _bytes(value) -> np.ndarray:
 def _counter(languages: tuple[str, ...]):
     @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((len(languages), 1 << BUCKET_BITS), np.int64)
+        totals = np.zeros((len(languages) + 1, 1 << BUCKET_BITS), np.int64)  # the last: of any other declared value
         for batch in batches:
             for language, value in zip(batch["declared"].to_pylist(), batch["text"]):
-                if language in languages:
+                if language:
                     grams = trigrams(_bytes(value))
-                    totals[languages.index(language)] += np.bincount(grams, minlength=1 << BUCKET_BITS)
-        rows = [(code, totals[code].astype("<i8").tobytes()) for code in range(len(languages))]
+                    code = languages.index(language) if language in languages else -1
+                    totals[code] += np.bincount(grams, minlength=1 << BUCKET_BITS)
+        rows = [(code, totals[code].astype("<i8").tobytes()) for code in range(len(totals))]
         yield emit(rows, pa.schema([("language", pa.int32()), ("counts", pa.binary())]))
 
     return count
@@ -84,27 +87,30 @@ def _counter(languages: tuple[str, ...]):
 def _likelihoods(docs: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
     """Log likelihood of each bucket per language, from all documents.
 
-    Each task sends one fixed-size row per language; the rows are added in a tree
-    of tasks, and one table of languages x 16,384 numbers reaches the driver.
+    Each task sends one fixed-size row per language and one more; the rows are added in a
+    tree of tasks, and one table of languages x 16,384 numbers reaches the driver.
     """
     parts = docs.select("declared", "text").mapInArrow(_counter(languages), "language int, counts binary")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((len(languages), 1 << BUCKET_BITS), np.int64)
+        totals = np.zeros((len(languages) + 1, 1 << BUCKET_BITS), np.int64)
         for batch in batches:
             for code, counts in zip(batch["language"].to_pylist(), batch["counts"]):
                 totals[code] += np.frombuffer(counts.as_buffer(), "<i8")
-        rows = [(code, totals[code].astype("<i8").tobytes()) for code in range(len(languages))]
+        rows = [(code, totals[code].astype("<i8").tobytes()) for code in range(len(totals))]
         yield emit(rows, pa.schema([("language", pa.int32()), ("counts", pa.binary())]))
 
     parts = parts.repartition(16).mapInArrow(add, parts.schema)
-    totals = np.zeros((len(languages), 1 << BUCKET_BITS))
-    for row in parts.collect():  # 16 rows per language
+    totals = np.zeros((len(languages) + 1, 1 << BUCKET_BITS))
+    for row in parts.collect():  # 16 rows per language, and 16 more
         totals[row["language"]] += np.frombuffer(row["counts"], "<i8")
-    totals += SMOOTHING
+    unseen = ~totals.any(axis=0)
+    totals = totals[:-1] + SMOOTHING
     shares = totals / totals.sum(axis=1, keepdims=True)
     even = np.full(shares.shape[1], 1 / shares.shape[1])
     other = (1 - EVEN_SHARE) * shares.mean(axis=0) + EVEN_SHARE * even if len(shares) else even
+    likeliest = shares.max(axis=0, initial=0)
+    other = np.where(unseen, np.maximum(other, likeliest * np.exp(2 * MARGIN)), other)
     return np.vstack([np.log(shares), np.log(other) - MARGIN]).astype(np.float32)
 
 
